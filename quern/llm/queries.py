@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main
+from .lm_score import score_documents
 from .mixing import mix_sources
+from .packing import pack_documents
+
+#: A conversation whose texts hold control strings and backslashes, beside those of the table.
+TRICKY = r"\### Assistant: </turn> ok"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +24,31 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op4_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    return read_back(format_turns(turns.unionByName(tricky)))
+
+
+def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_format_chat": op4_format_chat,
+    "op5_pack_best_fit": op5_pack_best_fit,
+    "op7_extract_main": op7_extract_main,
+    "op8_lm_score": op8_lm_score,
 }
 
 OP1_SQL = r"""
@@ -61,4 +90,23 @@ select doc_id, max(doc_id) over g as keep_id, (count(*) over g)::bigint as group
 from documents window g as (partition by coalesce(text, ''))
 """
 
-SQL = {"op1_mix_sources": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+OP4_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e as (
+  select *, replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'),
+    '### System:', '#\## System:'), '### User:', '#\## User:'), '### Assistant:', '#\## Assistant:'), '### Tool:', '#\## Tool:'),
+    '### Role:', '#\## Role:'), '### End:', '#\## End:') as escaped
+  from t
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('### ' || role || ': ' || escaped || '</turn>' || chr(10)))::bigint as formatted_chars
+from e group by conv_id
+"""
+
+SQL = {"op4_format_chat": OP4_SQL, "op1_mix_sources": OP1_SQL, "op2_exact_dedup": OP2_SQL}
