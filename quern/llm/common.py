@@ -124,35 +124,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash_window(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_window(raw: np.ndarray, space: np.ndarray, prefix: int) -> tuple[np.ndarray, ...]:
     gap = np.ones(len(raw) + 2, dtype=bool)
-    gap[1:-1] = _SPACE[raw]
+    gap[1:-1] = space[raw]
     turn = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = turn[::2], turn[1::2]
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[_LOWER[raw]] * _power(_BASE, len(raw))[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * _power(_INVERSE, len(raw))[start]
-    return mix(h + (end - start).astype(np.uint64)), start
+    back = _power(_INVERSE, len(raw))[start]
+    out = (mix((total[end] - total[start]) * back + (end - start).astype(np.uint64)), start)
+    if prefix:
+        stop = np.minimum(end, start + prefix)
+        out += (mix((total[stop] - total[start]) * back + (stop - start).astype(np.uint64)),)
+    return out
 
 
-def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(raw: np.ndarray, space: np.ndarray = _SPACE, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of UTF-8 bytes with A-Z lower-cased, and where they start.
 
-    Works through windows cut at spaces, so that memory is bounded for any length.
+    space: which bytes stand between words. With prefix, also the hashes of the words' first
+    bytes. Works through windows cut at spaces, so that memory is bounded for any length.
     """
-    if len(raw) <= _WINDOW:
-        return _hash_window(raw) if len(raw) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    hashes, starts, at = [], [], 0
+    found, at = [], 0
     while at < len(raw):
         to = min(at + _WINDOW, len(raw))
-        while to < len(raw) and not _SPACE[raw[to]]:  # to the end of the word
-            more = np.flatnonzero(_SPACE[raw[to : to + _WINDOW]])
+        while to < len(raw) and not space[raw[to]]:  # to the end of the word
+            more = np.flatnonzero(space[raw[to : to + _WINDOW]])
             to = to + int(more[0]) if len(more) else min(to + _WINDOW, len(raw))
-        h, s = _hash_window(raw[at:to])
-        hashes.append(h)
-        starts.append(s + at)
+        own = _hash_window(raw[at:to], space, prefix)
+        found.append((own[0], own[1] + at, *own[2:]))
         at = to
-    return np.concatenate(hashes), np.concatenate(starts)
+    if not found:
+        return tuple(np.empty(0, d) for d in ("u8", "i8", "u8")[: 2 + bool(prefix)])
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found))
 
 
 def batch_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +176,8 @@ def batch_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def document_words(column, limit: int = 1 << 22):
-    """For runs of rows of about `limit` bytes: first row, word hashes, len + 1 offsets of the rows' words."""
+def document_words(column, limit: int = 1 << 22, space: np.ndarray = _SPACE, prefix: int = 0):
+    """For runs of rows of about `limit` bytes: first row, word hashes, len + 1 offsets of the rows' words, prefix hashes if asked."""
     raw, at = batch_bytes(column)
     row = 0
     while row < len(at) - 1:
@@ -182,11 +186,11 @@ def document_words(column, limit: int = 1 << 22):
         bounds = at[row : to + 1] - at[row]
         joints = bounds[1:-1]
         joints = joints[(joints > 0) & (joints < len(piece))]
-        joints = joints[~_SPACE[piece[joints]] & ~_SPACE[piece[joints - 1]]]
+        joints = joints[~space[piece[joints]] & ~space[piece[joints - 1]]]
         if len(joints):  # no space stands between two rows: set one there
             joints = np.unique(joints)
             piece = np.insert(piece, joints, 32)
             bounds = bounds + np.searchsorted(joints, bounds, side="left")
-        hashes, starts = hash_words(piece)
-        yield row, hashes, np.searchsorted(starts, bounds, side="left")
+        hashes, starts, *more = hash_words(piece, space, prefix)
+        yield row, hashes, np.searchsorted(starts, bounds, side="left"), *more
         row = to

@@ -10,7 +10,9 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main
 from .lm_score import score_documents
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .packing import pack_documents
+from .toxicity import score_toxicity
 
 #: A conversation whose texts hold control strings and backslashes, beside those of the table.
 TRICKY = r"\### Assistant: </turn> ok"
@@ -34,6 +36,10 @@ def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(table(spark, sf_dir, "pages"))
 
@@ -42,13 +48,19 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_format_chat": op4_format_chat,
     "op5_pack_best_fit": op5_pack_best_fit,
+    "op6_toxicity": op6_toxicity,
     "op7_extract_main": op7_extract_main,
     "op8_lm_score": op8_lm_score,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 OP1_SQL = r"""
