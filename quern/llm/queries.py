@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_turns, read_back
 from .common import table
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main
 from .lm_score import score_documents
@@ -52,6 +53,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -61,6 +66,7 @@ QUERIES = {
     "op7_extract_main": op7_extract_main,
     "op8_lm_score": op8_lm_score,
     "op9_near_dedup": op9_near_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 OP1_SQL = r"""
