@@ -74,8 +74,8 @@ def source_targets(sizes: DataFrame, cycle: int = 3, most: int = MOST_EPOCHS) ->
     return run.select("source", "source_size", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(share.cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weight: Column | None = None, seed: str = "") -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, taken, copies, source, key.
+def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weight: Column | None = None, seed: str = "", row: Column | None = None) -> DataFrame:
+    """One row per row of docs: id_col, size, source_size, target, taken, copies, source, key, row (an expression to carry along).
 
     A document of size words is taken `copies` times; taken = copies * size. The last document
     that a source's budget reaches is in if half of it fits. Null text has size 0; a null source
@@ -84,8 +84,9 @@ def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sou
     t = F.coalesce(F.col(text), F.lit(""))
     w = clean_share(t) if weight is None else weight
     base = docs.select(
-        F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(t).alias("size"), w.cast("double").alias("w"), uniform(F.col(id_col).cast("string"), seed).alias("u")
-    ).select("id", "source", "size", (-F.log(F.col("u")) / F.col("w")).alias("key"))
+        F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(t).alias("size"), w.cast("double").alias("w"), uniform(F.col(id_col).cast("string"), seed).alias("u"),
+        (F.lit(None).cast("long") if row is None else row).alias("row"),
+    ).select("id", "row", "source", "size", (-F.log(F.col("u")) / F.col("w")).alias("key"))
     base = cut(base)
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sizes = cut(sizes)
@@ -110,10 +111,10 @@ def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sou
     inside = F.col("slot") == F.col("end_slot")
     order = Window.partitionBy("source", "slot").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("end_before") + F.sum("size").over(order) - F.col("size") / 2
-    columns = ["id", "size", "source_size", "target", "whole", "source", "key"]
+    columns = ["id", "row", "size", "source_size", "target", "whole", "source", "key"]
     clear = placed.where(~F.coalesce(inside, F.lit(False))).select(*columns, F.coalesce((F.col("slot") < F.col("end_slot")).cast("long"), F.lit(1)).alias("more"))
     sorted_ = placed.where(inside).select(*columns, (middle <= F.col("budget")).cast("long").alias("more"))
     copies = F.col("whole") + F.col("more") * (F.col("whole") < MOST_EPOCHS).cast("long")
     return clear.unionByName(sorted_).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "key"
+        F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "key", "row"
     )
