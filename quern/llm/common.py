@@ -31,11 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, kept in the shared folder until nothing refers to them."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The same rows without lineage, kept in the shared folder until nothing refers to them.
+
+    The optimizer's estimate of the size goes too: a loop of joins would multiply it into numbers
+    of millions of digits. Adaptive execution sees the real sizes.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    kept = df.checkpoint(eager=True)._jdf
+    plain = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
