@@ -36,14 +36,15 @@ class WordIds(dict):
     tokenizer itself would, and ASCII letters in lower case; that keeps the number of strings low.
     """
 
-    def __init__(self, path: str, room: int = 400_000, at_once: int = 20_000):
+    def __init__(self, path: str, room: int = 800_000, at_once: int = 20_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer, self.room, self.at_once = Tokenizer.from_file(path), room, at_once
+        self.old: dict[str, bytes] = {}  # what was known before; strings met again come back from it
 
     def encode(self, strings: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -59,28 +60,42 @@ class WordIds(dict):
         return out
 
     def learn(self, strings: set[str]) -> None:
-        if len(self) > self.room:
-            self.clear()
-            self[""] = b""
-        split = {}
+        old, new, stems = self.old, {}, set()
         for s in strings:
+            known = old.get(s)
+            if known is not None:
+                self[s] = known
+                continue
             low = s.lower() if s.isascii() else s
-            split[s] = (low[:-1], low[-1]) if low[-1] in ",." and low[:-1].isalpha() else (low, "")
-        ids = self.encode(list({x for pair in split.values() for x in pair if x and x not in self}))
-        self.update(ids)
-        self.update((s, self[a] + self[b]) for s, (a, b) in split.items())
+            new[s] = stem, tail = (low[:-1], low[-1]) if low[-1:] in (",", ".") and low[:-1].isalpha() else (low, "")
+            stems.add(stem)
+            stems.add(tail)
+        ids = {s: self.get(s) or old.get(s) for s in stems}
+        ids[""] = b""
+        ids.update(self.encode([s for s, known in ids.items() if known is None]))
+        for s, (stem, tail) in new.items():
+            self[s] = ids[stem] + ids[tail]
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
+        if len(self) > self.room // 2:
+            self.old = dict(self)
+            self.clear()
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(parts)).difference(self)
-        if new:
-            if len(self) > self.room:
-                new |= set(chain.from_iterable(parts)) - {""}
-            self.learn(new)
+        self.learn(set(chain.from_iterable(parts)).difference(self))
         get = self.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+_words: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This worker's; it outlives a task."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 def tokenizer_path(path: str | None) -> str:
     """path, or the public vocabulary's place on this machine."""
     if path:
@@ -104,7 +119,7 @@ def tokenize_pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        words, end = WordIds(tokenizer_path(path)), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer_path(path)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, row = [t or "" for t in batch.column(1).to_pylist()], 0
             while row < len(texts):
