@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import BindError
-from quern.functions.cells import CELL
+from quern.functions.cells import CELL, cell
 from quern.functions.predicates import all_of, check_typed, tagged, typed
 from quern.operators.versions import visible
 from quern.sources.catalog import EVIDENCE_SCHEMA, Catalog, Documents, Evidence, Graph, Kv, Relation
@@ -95,8 +95,6 @@ def bind(request: Emit, catalog: Catalog, snapshot: int | None = None, strict_ty
                 return _navigate(source, request, strict_types)
             return _bind_cells(source.nodes, lambda path: F.try_element_at("fields", F.lit(path)), request, strict_types)
         case Kv():
-            from quern.functions.cells import cell
-
             nothing = F.lit(None).cast(CELL.simpleString())
             cells = {"key": cell("text", F.col("key")), "value": F.col("value")}
             shown = {"key": F.col("key"), "value": F.col("value")}
