@@ -13,7 +13,9 @@ come from counts per task. The driver sees one count per length, at most `capaci
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from itertools import chain
 
@@ -28,6 +30,13 @@ END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: Letters below have had their properties and lower-case forms for long; from here on the tokenizer itself looks.
+LATIN_END = "\u0250"
+#: How byte-level vocabularies write the bytes that aren't printable Latin-1: the next free characters from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordIds(dict):
     """Ids of white-space-free strings, packed as little-endian 32-bit integers, encoded when first met.
 
@@ -47,9 +56,20 @@ class WordIds(dict):
         self.old: dict[str, bytes] = {}  # what was known before; strings met again come back from it
 
     def encode(self, strings: list[str]) -> dict[str, bytes]:
+        """Ids of strings. A run of Latin letters is one word to the tokenizer: it goes to the model without the steps before."""
         out: dict[str, bytes] = {}
-        for i in range(0, len(strings), self.at_once):
-            part = strings[i : i + self.at_once]
+        others = []
+        tokenize = self.tokenizer.model.tokenize
+        for s in strings:
+            word = s if s.isascii() else unicodedata.normalize("NFC", s).lower()
+            if word.isalpha() and max(word) < LATIN_END:
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_SHOWN)
+                out[s] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            else:
+                others.append(s)
+        for i in range(0, len(others), self.at_once):
+            part = others[i : i + self.at_once]
             starts = np.zeros(len(part), np.int64)
             np.cumsum([len(s) + 1 for s in part[:-1]], out=starts[1:])
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
