@@ -189,7 +189,7 @@ def test_toxicity(spark):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul></nav>
-<!-- no > comment --><div class="ad">Buy now, cheap.</div><article><h1>A &amp; B&nbsp;&lt;c&gt;</h1><p>First   line<br>goes <b>on</b> here, with more words to read.<p>Second &eacute; one &#x41; of the text, which says a little.</article>
+<!-- no > comment --><div class="ad">Buy now, cheap.</div><article><h1>A &amp; B&nbsp;&lt;c&gt;</h1><p>First   line<br>goes <b>on</b> here, with more words to read.<p>Second &eacute; one &#x41; of the text, which is number QQ.</article>
 <div class="comments"><p>Nice post, thanks a lot.</p></div><form>Name <input></form><footer>&copy; x</footer></body>"""
 
 
@@ -198,10 +198,10 @@ def test_pages(spark):
     assert "A & B <c>" in texts and "First line goes on here, with more words to read." in texts and not any("p{}" in t or "if (a" in t or "no >" in t for t in texts)
     odd = [None, "", "<p", "<", "a < b", "<p>x", "</p></div>y", "<p title='>'>z</p>", "<script>never closed", "<div " * 50, "&amp", "<b><p>q</b></p>r", "<li>1<li>2"]
     assert [[b.text for b in parse(o or "")] for o in odd] == [[], [], [], ["<"], ["a < b"], ["x"], ["y"], ["z"], [], [], ["&"], ["q", "r"], ["1", "2"]]
-    pages = spark.createDataFrame([(i, f"u{i}", PAGE.replace("x", str(i)), "t", 1) for i in range(60)] + [(100 + i, "u", p, "t", 1) for i, p in enumerate(odd)], "page_id long, url string, html string, text string, n_chars int")
+    pages = spark.createDataFrame([(i, f"u{i}", PAGE.replace("QQ", str(i)), "t", 1) for i in range(60)] + [(100 + i, "u", p, "t", 1) for i, p in enumerate(odd)], "page_id long, url string, html string, text string, n_chars int")
     got = {r["page_id"]: r for r in extract_main(pages).collect()}
     assert len(got) == 60 + len(odd) and got[100]["text"] == got[101]["text"] == ""
-    want = "A & B <c>\nFirst line goes on here, with more words to read.\nSecond é one A of the te{}t, which says a little."
+    want = "A & B <c>\nFirst line goes on here, with more words to read.\nSecond é one A of the text, which is number {}."
     assert np.mean([got[i]["text"] == want.format(i) for i in range(60)]) > 0.9
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert extract_main(pages.limit(0)).count() == 0
