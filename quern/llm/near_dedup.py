@@ -7,9 +7,10 @@ parity bits whose XOR has as many ones as the sketches' sets differ, which estim
 similarities closely; candidates far below the threshold go. The rest is decided by the sets.
 
 A band's group isn't expanded into pairs. First each class is compared with one centre of its
-group, then, where a group spans several components, with another centre, and what still
-spans several is compared pair by pair across components only: pairs within a component can't
-change the result. So groups of copies cost a few pairs a member, and no link is lost.
+group. Where a group then still spans several components, all its classes are compared: in small
+groups pair by pair across components, in large ones by products of membership matrices, block
+by block, of which only the edges that connect something leave. So groups of copies cost a pair
+or an edge a member, and no link is lost.
 
 Scale: texts are never shuffled. Full sets are made again, in a second pass, only for classes
 that share a band (found by a bitmap of fixed size); centres come from aggregates that combine
@@ -22,13 +23,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_words, mix
+from .common import cut, document_words, mix, shuffle_partitions
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 BITS = 512
 #: Candidates whose sketches estimate less than this aren't checked; six standard deviations below 0.85.
 LEAST_ESTIMATE = 0.6
+#: Groups up to this size are compared pair by pair; larger ones in blocks of so many sets or shingles.
+PAIRED, BLOCK, BLOCK_SHINGLES = 16, 1000, 400_000
 #: Bits of the map of candidates.
 MAP_BITS = 1 << 23
 
@@ -171,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
     while True:
         sent = both.join(labels.select(F.col("node").alias("a"), "comp"), "a").groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("got"))
-        near = cut(labels.join(cut(sent), "node").select("node", F.col("comp").alias("was"), F.least("comp", "got").alias("comp")))
+        near = cut(labels.join(sent, "node").select("node", F.col("comp").alias("was"), F.least("comp", "got").alias("comp")))
         far = near.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = cut(near.join(far, "comp").select("node", "was", F.col("next").alias("comp")))
         if new.where(F.col("was") != F.col("comp")).limit(1).count() == 0:
@@ -184,45 +187,112 @@ def _ones(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _block_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
+    """Labels of what is linked directly or through others; with side, only pairs across sides are looked at."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    every = np.concatenate(sets)
+    known, counts = np.unique(every, return_counts=True)
+    shared = known[counts > 1]  # others are in no intersection
+    owner = np.repeat(np.arange(len(sets)), n)
+    at = np.minimum(np.searchsorted(shared, every), max(len(shared) - 1, 0))
+    hit = np.flatnonzero(shared[at] == every) if len(shared) else np.empty(0, np.int64)
+    owner, at = owner[hit], at[hit]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(shared), 4096):
+        a, b = np.searchsorted(at, [low, low + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[a:b], at[a:b] - low] = 1
+        common += has @ has.T
+    common = common.astype(np.int64)
+    near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(near, False)
+    if side is not None:
+        near &= side[:, None] != side[None, :]
+    i, j = np.nonzero(near)
+    label = np.arange(len(sets))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _link_blocks(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked within each group (bk, node), by products of membership matrices.
+
+    A group of more than BLOCK sets, or BLOCK_SHINGLES shingles, is split into pairs of chunks; what
+    leaves a chunk pair is at most one edge for each member, not its pairs.
+    """
+    sized = cut(groups.join(sizes, "node"))
+    parts = sized.groupBy("bk").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = sized.join(cut(parts), "bk").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("bk", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("bk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "chunk").join(sets, "node")
+    ordered = dealt.repartition(shuffle_partitions(groups.sparkSession), "bk", "lo", "hi").sortWithinPartitions("bk", "lo", "hi", "node")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def edges(key, members):
+            if len(members) < 2:
+                return []
+            side = np.array([m[2] for m in members]) if key[1] != key[2] else None
+            label = _block_links([m[1] for m in members], side, percent)
+            return [(members[k][0], members[label[k]][0]) for k in np.flatnonzero(label != np.arange(len(label))).tolist()]
+
+        def out(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        key, members = None, []
+        for batch in batches:
+            found = []
+            for bk, lo, hi, node, chunk, held in zip(*(batch.column(i) for i in range(6))):
+                k = (bk.as_py(), lo.as_py(), hi.as_py())
+                if k != key:
+                    found += edges(key, members)
+                    key, members = k, []
+                members.append((node.as_py(), np.frombuffer(held.as_buffer(), np.uint64).copy(), chunk.as_py()))
+            yield out(found)
+        yield out(edges(key, members))
+
+    return ordered.select("bk", "lo", "hi", "node", "chunk", "set").mapInArrow(run, "a binary, b binary")
+
+
 def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
-    """node, comp of the classes that link with another; nodes: node, bands, sketch and id, one row each, cut."""
+    """node, comp of the classes that link with another; nodes: node, n, bands, sketch and id, one row each, cut."""
     member = cut(nodes.select(F.explode("bands").alias("bk"), "node"))
     groups = member.groupBy("bk").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("centre")).where("m > 1").drop("m")
     member = cut(member.join(cut(groups), "bk"))
-    shared = cut(member.select("node").distinct())
-    sketches = cut(nodes.join(shared, "node", "left_semi"))
+    sketches = cut(nodes.join(member.select("node").distinct(), "node", "left_semi"))
     sets = cut(sets_of(sketches.select("node", "id")))
     close = F.lit(largest_distance(LEAST_ESTIMATE))
 
     def check(pairs: DataFrame) -> DataFrame:
         side = lambda k: sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
         near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_ones("sketch_a", "sketch_b") <= close).select("a", "b")
-        return cut(_verify(cut(near), sets, percent))
+        return cut(_verify(near, sets, percent))
 
     edges = check(member.where(F.col("centre") != F.col("node")).select(F.col("node").alias("a"), F.col("centre").alias("b")))
     comps = components(edges)
-    for step in range(2):
-        # groups that span several components
-        placed = member.select("bk", "node").join(comps, "node", "left").select("bk", "node", F.coalesce("comp", "node").alias("comp"))
-        placed = cut(placed)
-        first = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "comp")).alias("centre")
-        split = placed.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), first).where("low <> high").select("bk", "centre")
-        left = cut(placed.join(cut(split), "bk"))
-        if left.limit(1).count() == 0:
-            return comps
-        if step == 0:
-            new = check(left.where(F.col("centre.comp") != F.col("comp")).select(F.col("node").alias("a"), F.col("centre.node").alias("b")))
-        else:
-            # pair by pair, each pair in one group only
-            left = cut(left.drop("centre").join(sketches.select("node", "bands", "sketch"), "node"))
-            a, b = (left.select("bk", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "bands", "sketch")]) for k in "ab")
-            own = F.array_min(F.array_intersect("bands_a", "bands_b")) == a["bk"]
-            apart = (F.col("comp_a") < F.col("comp_b")) & (_ones("sketch_a", "sketch_b") <= close) & own
-            new = check(a.join(b, (a["bk"] == b["bk"]) & apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-        if new.limit(1).count():
-            edges = edges.unionByName(new)
-            comps = components(edges)
-    return comps
+    # groups that span several components
+    placed = cut(member.select("bk", "node").join(comps, "node", "left").select("bk", "node", F.coalesce("comp", "node").alias("comp")))
+    spans = placed.groupBy("bk").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bk", "m")
+    left = cut(placed.join(cut(spans), "bk"))
+    # small ones pair by pair, across components
+    few = cut(left.where(F.col("m") <= PAIRED).join(sketches.select("node", "sketch"), "node"))
+    a, b = (few.select("bk", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "sketch")]) for k in "ab")
+    apart = (F.col("comp_a") < F.col("comp_b")) & (_ones("sketch_a", "sketch_b") <= close)
+    new = check(a.join(b, (a["bk"] == b["bk"]) & apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    # large ones in blocks
+    new = new.unionByName(cut(_link_blocks(left.where(F.col("m") > PAIRED).select("bk", "node"), nodes.select("node", "n"), sets, percent)))
+    new = cut(new)
+    if new.limit(1).count() == 0:
+        return comps
+    return components(edges.unionByName(new))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 85) -> DataFrame:
@@ -236,8 +306,8 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", perc
     whole = F.coalesce(F.col(text), F.lit(""))
     described = cut(_describe(docs, whole, id_col))
     classes = described.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    first = described.where("bands is not null").select("node", "bands", "sketch").dropDuplicates(["node"])
-    nodes = cut(first.join(cut(classes), "node"))
+    first = described.where("bands is not null").select("node", "n", "bands", "sketch").dropDuplicates(["node"])
+    nodes = cut(first.join(classes, "node"))
     comps = link_classes(nodes, lambda asked: _sets(docs, whole, id_col, asked), percent)
     named = cut(nodes.select("node", "id").join(comps, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp")))
     lowest = cut(named.groupBy("comp").agg(F.min("id").alias("component_id")))
