@@ -52,7 +52,7 @@ def _name_blocks(docs: DataFrame, text: str, id_col: str, block_bytes: int) -> D
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot = counts.where(F.col("count") > max(1, total // (8 * parts))).select("h", F.lit(True).alias("hot"))
     pieces = pieces.join(F.broadcast(hot), "h", "left")
-    salted = F.lit(n) + _bucket(F.xxhash64("_row", "idx"), n)
+    salted = F.lit(n) + _bucket(F.xxhash64("_row", "idx"), parts)
     pieces = pieces.withColumn("bucket", F.when(F.col("hot"), salted).otherwise(_bucket(F.col("h"), n)))
     by = Window.partitionBy("bucket").orderBy("block")
     ranked = pieces.withColumn("rank", F.dense_rank().over(by)).withColumn("_before", F.lag("block").over(by))
