@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import format_turns, read_back
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main
+from .licenses import scan_licenses
 from .lm_score import score_documents
 from .mixing import mix_sources
 from .near_dedup import near_dedup
@@ -27,6 +29,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op3_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files <source>/<lang>/<doc_id>."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return scan_licenses(files, keep=("doc_id",)).select("doc_id", "path", "license", F.round("score", 6).alias("score"), "inherited")
+
+
 def op4_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
@@ -60,6 +69,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_scan_licenses": op3_scan_licenses,
     "op4_format_chat": op4_format_chat,
     "op5_pack_best_fit": op5_pack_best_fit,
     "op6_toxicity": op6_toxicity,
