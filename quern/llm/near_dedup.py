@@ -31,7 +31,7 @@ BITS = 512
 #: Candidates whose sketches estimate less than this aren't checked; six standard deviations below 0.85.
 LEAST_ESTIMATE = 0.6
 #: Groups up to this size are compared pair by pair; larger ones in blocks of so many sets or shingles.
-PAIRED, BLOCK, BLOCK_SHINGLES = 16, 1000, 400_000
+PAIRED, BLOCK, BLOCK_SHINGLES = 16, 400, 200_000
 #: Bits of the map of candidates.
 MAP_BITS = 1 << 23
 

@@ -45,7 +45,7 @@ class WordIds(dict):
     tokenizer itself would, and ASCII letters in lower case; that keeps the number of strings low.
     """
 
-    def __init__(self, path: str, room: int = 800_000, at_once: int = 20_000):
+    def __init__(self, path: str, room: int = 500_000, at_once: int = 20_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
