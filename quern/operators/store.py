@@ -12,7 +12,7 @@ import os
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.errors import EngineError
@@ -39,6 +39,20 @@ def compact(entries: DataFrame, key: str, partitions: int | None = None) -> Data
     return dealt.sortWithinPartitions(key)
 
 
+def replay_order(log: DataFrame, order: str, width: int = 65_536) -> DataFrame:
+    """order and pos, the place of each record by it from 1; null comes last.
+
+    A prefix sum over blocks of `width` numbers, then places within a block: only the blocks' counts
+    meet in one task.
+    """
+    block = F.coalesce(F.floor(F.col(order) / width), F.lit((1 << 63) - 1)).alias("_block")
+    rows = log.select(order, block)
+    counts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(order)) + F.col("_before")
+    return rows.join(before, "_block").select(order, place.cast("bigint").alias("pos"))
+
+
 def tombstones(entries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Keys that earlier files show as live and the rows no longer have."""
     return live(entries, key).select(key).join(rows.select(key), key, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.cells import CELL, MEMBER, render_text
@@ -10,7 +10,7 @@ from quern.functions.evidence import digest_hex
 from quern.functions.vectors import top_k
 from quern.operators import txn, versions
 from quern.operators.ingest import accept_evidence, split_documents, split_edges
-from quern.operators.store import compact, newest
+from quern.operators.store import compact, newest, replay_order
 from quern.plans.codec import decode, encode
 from quern.plans.compile import bind
 from quern.plans.parser import parse
@@ -283,11 +283,13 @@ def _lsm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wal_replay_order", "select event_id, row_number() over (order by event_id) as pos from events where event_id < 1000")
 def _wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first thousand records of a log by commit order, numbered in blocks."""
-    log = A.load(spark, sf_dir, "events").where("event_id < 1000").select("event_id", F.floor(F.col("event_id") / 100).alias("b"))
-    counts = log.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("event_id")) + F.col("before")
-    return log.join(before, "b").select("event_id", place.cast("bigint").alias("pos"))
+    return replay_order(A.load(spark, sf_dir, "events").where("event_id < 1000"), "event_id", 100)
+
+
+@query("wal_replay_log", "select event_id, row_number() over (order by event_id) as pos from events")
+def _wal_replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of a log by commit order, numbered in blocks."""
+    return replay_order(A.load(spark, sf_dir, "events"), "event_id")
 
 
 # --- vectors
