@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.cells import CELL, MEMBER, render_text
 from quern.functions.evidence import digest_hex
-from quern.functions.vectors import top_k
+from quern.functions.vectors import search, top_k
 from quern.operators import txn, versions
 from quern.operators.ingest import accept_evidence, split_documents, split_edges
 from quern.operators.store import compact, newest, replay_order
@@ -305,14 +305,29 @@ _SCORES = {
 def _vector(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = A.vectors(spark, sf_dir)
-        first = table.where("vec_id = 0").select("embedding").first()[0]
-        found = top_k(table, "embedding", list(first), metric, 10)
+        first = table.where("vec_id = 0").select("embedding").first()
+        if first is None:  # nothing to search for
+            return table.limit(0).select(F.lit(0).cast("long").alias("rk"), "vec_id", F.lit(0.0).alias("score"))
+        found = top_k(table, "embedding", list(first[0]), metric, 10)
         return found.select("rk", "vec_id", (F.round("score", 5) + 0.0).alias("score"))
 
     return run
 
 
+def _searches(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = A.vectors(spark, sf_dir)
+        found = search(table, table.where("vec_id % 100 = 0"), "embedding", metric, 10)
+        return found.select("query_id", "rk", F.col("id").alias("vec_id"), (F.round("score", 5) + 0.0).alias("score"))
+
+    return run
+
+
+_QS = "(select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0)"
+
 for _m, _s in _SCORES.items():
+    QUERIES[f"vec_search_{_m}"] = _searches(_m)
+    SQL[f"vec_search_{_m}"] = f"select query_id, rk, vec_id, round(raw, 5) + 0.0 as score from (select *, row_number() over (partition by query_id order by raw desc, vec_id) as rk from (select query_id, vec_id, {_s} as raw from embeddings, {_QS})) where rk <= 10"
     QUERIES[f"vec_topk_{_m}"] = _vector(_m)
     SQL[f"vec_topk_{_m}"] = f"select row_number() over (order by raw desc, vec_id) as rk, vec_id, round(raw, 5) + 0.0 as score from (select vec_id, {_s} as raw from embeddings, {_Q} order by raw desc, vec_id limit 10)"
 
