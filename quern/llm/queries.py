@@ -30,7 +30,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files <source>/<lang>/<doc_id>."""
+    """Documents as files <source>/<lang>/<doc_id>; none is a licence file, so nothing is inherited."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
     files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
     return scan_licenses(files, keep=("doc_id",)).select("doc_id", "path", "license", F.round("score", 6).alias("score"), "inherited")
