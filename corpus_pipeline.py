@@ -18,6 +18,8 @@ from quern.llm.toxicity import score_toxicity
 
 #: No SQL gives the rows: models, sketches and a tokenizer decide.
 ORACLE_SQL = None
+#: Near copies share so many per cent of their shingles, or more.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; null ids stay."""
-    dropped = cut(near_dedup(docs).where("not kept").select("doc_id").distinct())
+    dropped = cut(near_dedup(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

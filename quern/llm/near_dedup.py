@@ -2,7 +2,7 @@
 
 Texts with equal sets form a class, named by a 128-bit digest of the set; from there on work
 is by class. BANDS bands of ROWS MinHash values give candidates: at similarity 0.85 a pair
-shares none with a probability of 4e-7. The samples are also folded into an odd sketch: BITS
+shares none with a probability of 4e-7, at 0.8 with 5e-5. The samples are also folded into an odd sketch: BITS
 parity bits whose XOR has as many ones as the sketches' sets differ, which estimates high
 similarities closely; candidates far below the threshold go. The rest is decided by the sets.
 
@@ -28,8 +28,8 @@ from .common import cut, document_words, mix, shuffle_partitions
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 BITS = 512
-#: Candidates whose sketches estimate less than this aren't checked; six standard deviations below 0.85.
-LEAST_ESTIMATE = 0.6
+#: Candidates whose sketches estimate less than the threshold by this aren't checked: over six standard deviations from 0.8 on.
+ESTIMATE_ROOM = 0.25
 #: Groups up to this size are compared pair by pair; larger ones in blocks of so many sets or shingles.
 PAIRED, BLOCK, BLOCK_SHINGLES = 16, 400, 200_000
 #: Bits of the map of candidates.
@@ -269,7 +269,7 @@ def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     member = cut(member.join(cut(groups), "bk"))
     sketches = cut(nodes.join(member.select("node").distinct(), "node", "left_semi"))
     sets = cut(sets_of(sketches.select("node", "id")))
-    close = F.lit(largest_distance(LEAST_ESTIMATE))
+    close = F.lit(largest_distance(percent / 100 - ESTIMATE_ROOM))
 
     def check(pairs: DataFrame) -> DataFrame:
         side = lambda k: sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
