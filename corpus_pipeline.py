@@ -35,9 +35,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; null ids stay."""
-    dropped = cut(near_dedup(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, the one with the smallest id, null being the largest; of one id's rows the first."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")  # tells rows apart, whatever their ids
+    found = near_dedup(numbered.select(place.alias("place"), "text"), id_col="place", percent=NEAR_PERCENT)
+    dropped = cut(found.where("not kept").select("place._row"))
+    return numbered.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
