@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of tokenised documents into sequences, in rounds that the driver plans over counts per length.
 
 Pieces are ranked within their length (per task, then by prefix sums over tasks), and open
 sequences within their gap. A round takes the pieces of one length, longest first: a sweep over
