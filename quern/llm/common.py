@@ -20,29 +20,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. On one machine (a local master) it may be unset; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Spark's setting under which a query's shuffle files go as soon as it has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, kept in the shared folder until nothing refers to them.
+    """The same rows without lineage, kept in the shared folder until `release` or the end of the session.
 
-    The optimizer's estimate of the size goes too: a loop of joins would multiply it into numbers
-    of millions of digits. Adaptive execution sees the real sizes.
+    The shuffles that made them are of no more use then, and their files go at once. The
+    optimizer's estimate of the size goes too: a loop of joins would multiply it into numbers of
+    millions of digits. Adaptive execution sees the real sizes.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    kept = df.checkpoint(eager=True)._jdf
-    plain = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
-    return DataFrame(plain, spark)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        kept = df.select("*").checkpoint(eager=True)._jdf
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    plain = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    plain._quern_file = kept.queryExecution().logical().rdd().getCheckpointFile()
+    return plain
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of frames that `cut` made and that nothing uses any more, lazily evaluated results included."""
+    for frame in frames:
+        at = frame._quern_file
+        if at.isDefined():
+            remove_dir(frame.sparkSession, at.get())
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

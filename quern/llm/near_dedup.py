@@ -6,11 +6,13 @@ shares none with a probability of 4e-7, at 0.8 with 5e-5. The samples are also f
 parity bits whose XOR has as many ones as the sketches' sets differ, which estimates high
 similarities closely; candidates far below the threshold go. The rest is decided by the sets.
 
-A band's group isn't expanded into pairs. First each class is compared with one centre of its
-group. Where a group then still spans several components, all its classes are compared: in small
-groups pair by pair across components, in large ones by products of membership matrices, block
-by block, of which only the edges that connect something leave. So groups of copies cost a pair
-or an edge a member, and no link is lost.
+A band's group isn't expanded into pairs, and of bands with the same classes only one is a group.
+First each class is compared with one centre of its group. Where a group then still spans several
+components, small groups are compared pair by pair across components; large ones are compared
+with further centres, and what that leaves, pairs of blocks of a component's outside with
+everything, by their sketches and then by products of membership matrices, of which only the
+edges that connect something leave. So groups of copies cost a few pairs or edges a member, and
+no link is lost.
 
 Scale: texts are never shuffled. Full sets are made again, in a second pass, only for classes
 that share a band (found by a bitmap of fixed size); centres come from aggregates that combine
@@ -23,15 +25,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_words, mix, shuffle_partitions
+from .common import cut, document_words, mix, release, shuffle_partitions
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 BITS = 512
 #: Candidates whose sketches estimate less than the threshold by this aren't checked: over six standard deviations from 0.8 on.
 ESTIMATE_ROOM = 0.25
-#: Groups up to this size are compared pair by pair; larger ones in blocks of so many sets or shingles.
-PAIRED, BLOCK, BLOCK_SHINGLES = 16, 400, 200_000
+#: Groups up to this size are compared pair by pair. Larger ones are compared with so many further centres, and what they leave in blocks of so many sets or shingles.
+PAIRED, PEELS, BLOCK, BLOCK_SHINGLES = 16, 1, 500, 400_000
+#: So many edges are joined up in one task, some 100 KB.
+FEW = 1000
 #: Bits of the map of candidates.
 MAP_BITS = 1 << 23
 
@@ -164,22 +168,56 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _forest(left: DataFrame) -> DataFrame:
+    """node and comp of at most FEW edges, in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([top(x) for x in list(up)], pa.binary())], names=["node", "comp"])
+
+    return cut(left.coalesce(1).mapInArrow(run, "node binary, comp binary"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node reachable) of every node that the edges (a, b) touch.
 
-    Minimum labels along edges and then along labels, until nothing changes; lineage is cut at
-    every step, and a hub's messages are combined before they are shuffled.
+    Each round points every node at the smallest of itself and its neighbours and contracts the
+    edges along these pointers, until at most FEW are left, which one task finishes; then the
+    pointers are followed, last round first. A round's nodes are its local minima at most twice
+    over, so with names that are digests the rounds are few. A hub's neighbours are combined
+    before they are shuffled, and pointers and edges meet in joins that adaptive execution can split.
     """
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
-    while True:
-        sent = both.join(labels.select(F.col("node").alias("a"), "comp"), "a").groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("got"))
-        near = cut(labels.join(sent, "node").select("node", F.col("comp").alias("was"), F.least("comp", "got").alias("comp")))
-        far = near.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = cut(near.join(far, "comp").select("node", "was", F.col("next").alias("comp")))
-        if new.where(F.col("was") != F.col("comp")).limit(1).count() == 0:
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+    left, rounds = cut(edges.select("a", "b").where("a <> b")), []
+    while left.count() > FEW:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pointer = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")))
+        rounds.append(pointer)
+        to = lambda k: pointer.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}"))
+        moved = left.join(to("a"), "a").join(to("b"), "b").where("_a <> _b")
+        new = cut(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        release(left)
+        left = new
+    rounds.append(_forest(left))
+    release(left)
+    while len(rounds) > 1:
+        last = rounds.pop()
+        to = last.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        here = rounds.pop()
+        rounds.append(cut(here.join(to, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))))
+        release(here, last)
+    return rounds[0]
 
 
 def _ones(a: str, b: str) -> Column:
@@ -187,8 +225,19 @@ def _ones(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _block_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
-    """Labels of what is linked directly or through others; with side, only pairs across sides are looked at."""
+def _block_links(sets: list[np.ndarray], sketches: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what links across components, at most one less than there are sets.
+
+    Odd sketches tell which sets have any candidate; only their memberships are multiplied.
+    """
+    bits = np.unpackbits(sketches.view(np.uint8).reshape(len(sets), -1), axis=1).astype(np.float32)
+    ones = bits.sum(1)
+    apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+    maybe = (apart <= largest_distance(percent / 100 - ESTIMATE_ROOM)) & (comp[:, None] != comp[None, :])
+    who = np.flatnonzero(maybe.any(1))
+    if len(who) < 2:
+        return []
+    sets, comp, maybe = [sets[i] for i in who], comp[who], maybe[np.ix_(who, who)]
     n = np.array([len(x) for x in sets], dtype=np.int64)
     every = np.concatenate(sets)
     known, counts = np.unique(every, return_counts=True)
@@ -199,50 +248,55 @@ def _block_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int)
     owner, at = owner[hit], at[hit]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24 are exact
     for low in range(0, len(shared), 4096):
         a, b = np.searchsorted(at, [low, low + 4096])
         has = np.zeros((len(sets), 4096), np.float32)
         has[owner[a:b], at[a:b] - low] = 1
         common += has @ has.T
     common = common.astype(np.int64)
-    near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    np.fill_diagonal(near, False)
-    if side is not None:
-        near &= side[:, None] != side[None, :]
-    i, j = np.nonzero(near)
+    i, j = np.nonzero(maybe & (100 * common >= percent * (n[:, None] + n[None, :] - common)))
     label = np.arange(len(sets))
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
         new = new[new]
         if (new == label).all():
-            return label
+            break
         label = new
+    return [(int(who[k]), int(who[label[k]])) for k in np.flatnonzero(label != np.arange(len(label))).tolist()]
 
 
-def _link_blocks(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked within each group (bk, node), by products of membership matrices.
+def _link_blocks(groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what links across the components of each group (bk, node, comp).
 
-    A group of more than BLOCK sets, or BLOCK_SHINGLES shingles, is split into pairs of chunks; what
-    leaves a chunk pair is at most one edge for each member, not its pairs.
+    A group's largest component needs no comparison within itself, so its members only meet the
+    rest. Both sides are split into chunks of BLOCK sets, or BLOCK_SHINGLES shingles, and compared
+    by pairs of chunks; what leaves such a pair is at most one edge for each member.
     """
-    sized = cut(groups.join(sizes, "node"))
-    parts = sized.groupBy("bk").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    dealt = sized.join(cut(parts), "bk").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("bk", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("bk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "chunk").join(sets, "node")
+    sized = cut(groups.join(nodes.select("node", "n", "sketch"), "node"))
+    of_comp = sized.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    parts = of_comp.groupBy("bk").agg(F.max(F.struct("k", "n", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    chunks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    parts = cut(parts.select("bk", F.col("main.comp").alias("main"), chunks(F.col("main.k"), F.col("main.n")).alias("mains"), chunks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("rests")))
+    dealt = sized.join(parts, "bk").withColumn("in_main", F.col("comp") == F.col("main"))
+    # chunks of the rest are numbered from 0, those of the largest component from there on
+    place = F.xxhash64("node")
+    dealt = dealt.withColumn("chunk", F.when(F.col("in_main"), F.col("rests") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("rests"))).cast("int"))
+    last = F.when(F.col("in_main"), F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    dealt = dealt.select("bk", "node", "comp", "sketch", "chunk", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("bk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "comp", "sketch", "chunk").join(sets, "node")
     ordered = dealt.repartition(shuffle_partitions(groups.sparkSession), "bk", "lo", "hi").sortWithinPartitions("bk", "lo", "hi", "node")
 
     def run(batches):
         import pyarrow as pa
 
-        def edges(key, members):
+        def edges(members):
             if len(members) < 2:
                 return []
-            side = np.array([m[2] for m in members]) if key[1] != key[2] else None
-            label = _block_links([m[1] for m in members], side, percent)
-            return [(members[k][0], members[label[k]][0]) for k in np.flatnonzero(label != np.arange(len(label))).tolist()]
+            names, comps, sketches, sets = zip(*members)
+            _, comp = np.unique(np.array(comps, dtype=object), return_inverse=True)
+            return [(names[i], names[j]) for i, j in _block_links(list(sets), np.array(sketches), comp, percent)]
 
         def out(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
@@ -250,49 +304,86 @@ def _link_blocks(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent:
         key, members = None, []
         for batch in batches:
             found = []
-            for bk, lo, hi, node, chunk, held in zip(*(batch.column(i) for i in range(6))):
+            for bk, lo, hi, node, comp, sketch, held in zip(*(batch.column(i) for i in range(7))):
                 k = (bk.as_py(), lo.as_py(), hi.as_py())
                 if k != key:
-                    found += edges(key, members)
+                    found += edges(members)
                     key, members = k, []
-                members.append((node.as_py(), np.frombuffer(held.as_buffer(), np.uint64).copy(), chunk.as_py()))
+                members.append((node.as_py(), comp.as_py(), np.array(sketch.as_py()), np.frombuffer(held.as_buffer(), np.uint64).copy()))
             yield out(found)
-        yield out(edges(key, members))
+        yield out(edges(members))
+
+    out = cut(ordered.select("bk", "lo", "hi", "node", "comp", "sketch", "set").mapInArrow(run, "a binary, b binary"))
+    release(sized, parts)
+    return out
 
-    return ordered.select("bk", "lo", "hi", "node", "chunk", "set").mapInArrow(run, "a binary, b binary")
+
+def band_groups(nodes: DataFrame) -> DataFrame:
+    """bk, m, centre of the bands that several classes share; of bands with the same classes only one.
+
+    A group's classes are known by their number and the XOR of their names, which are digests.
+    """
+    member = nodes.select(F.explode("bands").alias("bk"), "node")
+    half = lambda at: F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("long")
+    groups = member.groupBy("bk").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("centre"), F.bit_xor(half(1)).alias("x"), F.bit_xor(half(9)).alias("y")).where("m > 1")
+    return groups.groupBy("m", "centre", "x", "y").agg(F.min("bk").alias("bk")).select("bk", "m", "centre")
 
 
 def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     """node, comp of the classes that link with another; nodes: node, n, bands, sketch and id, one row each, cut."""
-    member = cut(nodes.select(F.explode("bands").alias("bk"), "node"))
-    groups = member.groupBy("bk").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("centre")).where("m > 1").drop("m")
-    member = cut(member.join(cut(groups), "bk"))
-    sketches = cut(nodes.join(member.select("node").distinct(), "node", "left_semi"))
+    groups = cut(band_groups(nodes))
+    member = cut(nodes.select(F.explode("bands").alias("bk"), "node").join(groups, "bk"))
+    sketches = cut(nodes.select("node", "n", "sketch", "id").join(member.select("node").distinct(), "node", "left_semi"))
     sets = cut(sets_of(sketches.select("node", "id")))
     close = F.lit(largest_distance(percent / 100 - ESTIMATE_ROOM))
 
     def check(pairs: DataFrame) -> DataFrame:
         side = lambda k: sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_ones("sketch_a", "sketch_b") <= close).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(_ones("sketch_a", "sketch_b") <= close).select("a", "b")
         return cut(_verify(near, sets, percent))
 
+    def merged(comps: DataFrame, new: DataFrame) -> DataFrame:
+        """Components with further edges, which are released."""
+        if new.isEmpty():
+            release(new)
+            return comps
+        out = components(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(new))
+        release(comps, new)
+        return out
+
+    def open_groups(member: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+        """bk, m, node, comp, centre and its comp, of the groups that span several components."""
+        placed = member.select("bk", "m", "node").join(comps, "node", "left").select("bk", "m", "node", F.coalesce("comp", "node").alias("comp"))
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
+        spans = placed.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), first.alias("c"))
+        spans = cut(spans.where("low <> high").select("bk", F.col("c.node").alias("centre"), F.col("c.comp").alias("own")))
+        out = cut(placed.join(spans, "bk"))
+        release(spans)
+        return out
+
     edges = check(member.where(F.col("centre") != F.col("node")).select(F.col("node").alias("a"), F.col("centre").alias("b")))
     comps = components(edges)
-    # groups that span several components
-    placed = cut(member.select("bk", "node").join(comps, "node", "left").select("bk", "node", F.coalesce("comp", "node").alias("comp")))
-    spans = placed.groupBy("bk").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bk", "m")
-    left = cut(placed.join(cut(spans), "bk"))
-    # small ones pair by pair, across components
-    few = cut(left.where(F.col("m") <= PAIRED).join(sketches.select("node", "sketch"), "node"))
-    a, b = (few.select("bk", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "sketch")]) for k in "ab")
-    apart = (F.col("comp_a") < F.col("comp_b")) & (_ones("sketch_a", "sketch_b") <= close)
-    new = check(a.join(b, (a["bk"] == b["bk"]) & apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    # large ones in blocks
-    new = new.unionByName(cut(_link_blocks(left.where(F.col("m") > PAIRED).select("bk", "node"), nodes.select("node", "n"), sets, percent)))
-    new = cut(new)
-    if new.limit(1).count() == 0:
-        return comps
-    return components(edges.unionByName(new))
+    release(edges)
+    rest = member.where("m > 2")
+    for turn in range(PEELS + 1):
+        spread = open_groups(rest, comps, turn)
+        rest = spread.where(F.col("m") > PAIRED)
+        if turn == PEELS:
+            new = _link_blocks(rest.select("bk", "node", "comp"), sketches, sets, percent)
+        else:
+            pairs = rest.where(F.col("comp") != F.col("own")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+            if turn == 0:  # small groups, across components
+                a, b = (spread.where(F.col("m") <= PAIRED).select("bk", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
+                pairs = pairs.unionByName(a.join(b, "bk").where("comp_a < comp_b").select("a", "b"))
+            new = check(pairs)
+        release(member)
+        member = spread
+        comps = merged(comps, new)
+        if rest.isEmpty():
+            break
+    release(groups, member, sketches, sets)
+    return comps
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 85) -> DataFrame:
@@ -305,13 +396,14 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", perc
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     described = cut(_describe(docs, whole, id_col))
-    classes = described.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    first = described.where("bands is not null").select("node", "n", "bands", "sketch").dropDuplicates(["node"])
-    nodes = cut(first.join(classes, "node"))
+    of_class = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "bands", "sketch")]
+    nodes = cut(described.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), *of_class))
     comps = link_classes(nodes, lambda asked: _sets(docs, whole, id_col, asked), percent)
-    named = cut(nodes.select("node", "id").join(comps, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp")))
-    lowest = cut(named.groupBy("comp").agg(F.min("id").alias("component_id")))
-    named = cut(named.join(lowest, "comp").select("node", "component_id"))
+    linked = cut(nodes.select("node", "id").join(comps, "node"))
+    lowest = cut(linked.groupBy("comp").agg(F.min("id").alias("component_id")))
+    named = nodes.select("node", "id").join(linked.select("node", "comp").join(lowest, "comp").select("node", "component_id"), "node", "left")
+    named = cut(named.select("node", F.coalesce("component_id", "id").alias("component_id")))
+    release(nodes, comps, linked, lowest)
     out = described.select("id", "node", "n").join(named, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
