@@ -6,9 +6,10 @@ and a few ratios. A bidirectional LSTM in numpy reads the whole page's blocks an
 the text of blocks labelled main is the result.
 
 The labeller is fitted when the query runs, on at most SAMPLE pages of the table (those with the
-smallest hashes of their ids) that mark their article, labelled by that mark, and on MADE pages
-put together from the sample's paragraphs with menus, notices, forms, comments and so on in
-varied markup, whose labels are known. That bounded sample is all the driver sees.
+smallest hashes of their ids, of at most SAMPLE_BYTES) whose elements mark their article, labelled
+by these elements and never by class names (what a name within the article might say is left out),
+and on MADE pages put together from the sample's paragraphs with menus, notices, forms, comments
+and so on in varied markup, whose labels are known. That bounded sample is all the driver sees.
 
 Scale: one pass over the pages, no shuffle; a batch of pages is in memory at a time.
 """
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import hash_words
 
-#: Most pages of the table, and number of made pages, that the labeller is fitted on.
-SAMPLE, MADE = 200, 500
+#: What the labeller is fitted on: at most so many pages of the table, of at most so many bytes and blocks each, and so many made pages.
+SAMPLE, SAMPLE_BYTES, SAMPLE_BLOCKS, MADE = 200, 100_000, 400, 500
+#: Made pages draw their paragraphs from at most so many of the sample's, and their words from the first so many of each.
+MADE_PARAGRAPHS, MADE_WORDS = 2000, 40
 PATH, WORDS, MORE = 96, 24, 8
 WIDTH = PATH + WORDS + MORE
 HIDDEN = 16
@@ -35,13 +38,15 @@ FADE = 0.8
 # fixed values: elements of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr output picture q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr"
+    " audio canvas object video math mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
-DROPPED = set("script style noscript template title iframe svg math object canvas audio video head".split())
+DROPPED = set("script style noscript template title iframe svg annotation annotation-xml".split())
 RAW = set("script style title iframe noscript template".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>?""", re.DOTALL)
+# a quote opens a value only right after the equals sign; one that is never closed doesn't swallow what follows the tag
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>?""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 
@@ -71,21 +76,20 @@ def _element(tag: str, attributes: str) -> tuple:
     return _known[key]
 
 
-# fixed values: words by which pages name what isn't their article
+# fixed values: elements that hold no article text
 _ASIDE_TAGS = set("nav header footer aside form button select textarea menu dialog".split())
-_ASIDE_NAMES = set(
-    "ad ads advert advertisement banner breadcrumb comment comments cookie cookies discussion footer form header login menu nav navigation newsletter notice popup promo related reply share sidebar signup social sponsor sponsored subscribe".split()
-)
 
 
 def _mark(stack: list[tuple]) -> int:
-    """1 if the page marks this place as article, 0 if as something else, -1 if it says nothing."""
-    inside = -1
+    """1 where the page's elements say article, 0 where they say something else, -1 where a name within the article might."""
+    inside = 0
     for tag, _, names in stack:
-        if inside != 1 and tag in ("article", "main"):
-            inside = 1
-        elif (tag in _ASIDE_TAGS and not (tag == "header" and inside == 1)) or names & _ASIDE_NAMES:
+        if tag in _ASIDE_TAGS and not (tag == "header" and inside):
             return 0
+        if tag in ("article", "main") and not inside:
+            inside = -1 if names else 1
+        elif names and inside:
+            inside = -1
     return inside
 
 
@@ -147,9 +151,11 @@ def parse(page: str, marks: bool = False) -> list[Block]:
                 if tag == "p":
                     flush()
             continue
-        if tag in DROPPED:
+        if tag == "head":
             flush()
-            if tag != "head" and not m[3].endswith("/"):
+            continue
+        if tag in DROPPED:  # it leaves the block around it whole
+            if not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = close.end() if close else (end if tag in RAW else at)
             continue
@@ -343,7 +349,7 @@ def made_pages(paragraphs: list[str], n: int, seed: int = 11) -> list[list[Block
     """
     rng = np.random.default_rng(seed)
     pick = lambda options: options[rng.integers(len(options))]
-    words = [w for p in paragraphs for w in p.split()[:40]] or ["word"]
+    words = [w for p in paragraphs for w in p.split()[:MADE_WORDS]] or ["word"]
     paragraphs = paragraphs or ["A few words."]
     marks = ("\ue000", "\ue001")
     is_main = 0
@@ -424,12 +430,9 @@ def made_pages(paragraphs: list[str], n: int, seed: int = 11) -> list[list[Block
 def train_labeller(pages: list[str], made: int = MADE) -> Labeller:
     """Fitted on given pages that mark their article, and on made ones."""
     parsed = [parse(p, marks=True) for p in pages]
-    marked = [[b for b in p] for p in parsed if any(b.main == 1 for b in p)]
-    for p in marked:
-        for b in p:
-            b.main = max(b.main, 0)
+    marked = [p for p in parsed if any(b.main == 1 for b in p)]
     paragraphs = [b.text for p in parsed for b in p if b.main == 1 and b.path]
-    known = [p for p in marked if len(p) <= 400] + [p for p in made_pages(paragraphs[:2000], made) if p]
+    known = [p for p in marked if len(p) <= SAMPLE_BLOCKS] + [p for p in made_pages(paragraphs[:MADE_PARAGRAPHS], made) if p]
     labeller = Labeller()
     labeller.fit([(features(p), np.array([b.main for b in p], np.float32)) for p in known])
     return labeller
@@ -442,8 +445,8 @@ def extract_main(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (
     as far as it goes: a tag without an end, an unclosed element or a stray end tag loses no text.
     """
     spark = pages.sparkSession
-    chosen = pages.where(F.col(html).isNotNull()).select(F.xxhash64(F.col(order)).alias("h"), F.col(html).alias("html")).orderBy("h", F.xxhash64("html")).limit(sample)
-    labeller = train_labeller([r["html"] for r in chosen.collect()])  # at most `sample` pages
+    chosen = pages.where(F.octet_length(html) <= SAMPLE_BYTES).select(F.xxhash64(F.col(order)).alias("h"), F.col(html).alias("html")).orderBy("h", F.xxhash64("html")).limit(sample)
+    labeller = train_labeller([r["html"] for r in chosen.collect()])  # at most `sample` pages of SAMPLE_BYTES
     shared = spark.sparkContext.broadcast(labeller)
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", text string, n_chars long"
