@@ -72,6 +72,15 @@ def tagged(p: Predicate, value: Column, strict_types: bool = False) -> Column:
     return same & typed(p, own)
 
 
+def declared(p: Predicate, kind: str | None, value: Column | None, strict_types: bool = False) -> Column:
+    """What `tagged` says of a cell, for a column of one type, or for a path that the rows don't have (None)."""
+    if kind is None:
+        return F.lit(p.op == "is_null")
+    if p.op in ("is_null", "not_null") or tag(p.values[0] if p.values else p.value) == kind:
+        return typed(p, value)
+    return value.isNotNull() if p.op in ("not_in", "not_like") and not strict_types else F.lit(False)
+
+
 def all_of(columns: list[Column]) -> Column:
     return reduce(and_, columns, F.lit(True))
 

@@ -51,23 +51,51 @@ def split_edges(candidates: DataFrame, nodes: DataFrame, existing: DataFrame) ->
     return ends.join(first, triple).join(known, triple, "left").withColumn("rejected", reason).select(*triple, "_row_seq", "rejected")
 
 
+#: Rows of a block of the order, in which the quota is followed row by row.
+QUOTA_BLOCK = 4096
+
+
 def accept_evidence(candidates: DataFrame, order: str, retained: int = 0, most: int = MAX_RETAINED_BYTES) -> DataFrame:
-    """candidates (the metadata columns, payload_length) with `rejected` and, for accepted ones, the bytes kept so far.
+    """candidates (the metadata columns, payload_length) with `kept_bytes`, all that is kept after the row, and `rejected`.
 
-    The quota counts valid rows in order; a row beyond it is rejected, and so are those after it
-    in a batch, as the sum runs on. The running sum is by ranges of the order, not in one task.
+    Rows come one after the other in the order, nulls last. One that would take the kept bytes
+    beyond the quota is rejected and keeps nothing, so a later, smaller one may still fit; bad
+    metadata is looked at after sizes and the quota. What fits is found by sums of blocks: all
+    blocks before the first that overflows fit whole, that block's rows (QUOTA_BLOCK ids) are
+    followed on the driver, and after it only rows count that are small enough for what is left.
     """
+    place = F.coalesce(F.col(order).cast("long"), F.lit(2**63 - 1))
+    block = F.floor(place / QUOTA_BLOCK)
+    size = F.coalesce(F.col("payload_length"), F.lit(0)).cast("long")
     reason = rejection(*[F.col(c) for c in ("object_id", "media_type", "observed_at", "origin", "owner", "payload_length")])
-    judged = candidates.withColumn("_reason", reason)
-    size = F.when(F.col("_reason").isNull(), F.col("payload_length")).otherwise(0)
-    # prefix sums in two steps: blocks of the order, then rows within a block
-    block = F.floor(F.col(order) / 4096)
-    sums = judged.groupBy(block.alias("_block")).agg(F.sum(size).alias("_sum"))
-    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = judged.withColumn("_block", block).join(before, "_block").withColumn("kept_bytes", F.col("_before") + F.sum(size).over(own) + retained)
-    over = F.when(F.col("kept_bytes") > most, "RetainedQuotaExceeded")
-    return run.withColumn("rejected", F.coalesce("_reason", over)).drop("_block", "_before", "_reason")
+    judged = candidates.withColumn("_reason", reason).withColumn("_size", size).withColumn("_place", place).withColumn("_block", block)
+    valid = judged.where("_reason is null").select("_place", "_block", "_size")
+    left, done = most - retained, F.lit(-(2**62))
+    fits = F.lit(False)
+    while True:
+        rest = valid.where((F.col("_block") > done) & (F.col("_size") <= left))
+        sums = rest.groupBy("_block").agg(F.sum("_size").alias("_sum"))
+        running = sums.withColumn("_run", F.sum("_sum").over(Window.orderBy("_block")))
+        full = running.where(F.col("_run") > left).orderBy("_block").select("_block", F.col("_run") - F.col("_sum")).first()
+        if full is None:
+            fits = fits | ((F.col("_block") > done) & (F.col("_size") <= left))
+            break
+        at, before = full
+        fits = fits | ((F.col("_block") > done) & (F.col("_block") < at) & (F.col("_size") <= left))
+        left, taken = left - before, []
+        for own, n in rest.where(F.col("_block") == at).orderBy("_place").select("_place", "_size").collect():  # a block
+            if n <= left:
+                left, taken = left - n, [*taken, own]
+        fits, done = fits | ((F.col("_block") == at) & F.col("_place").isin(taken)), F.lit(at)
+    kept = F.when(F.col("_reason").isNull() & fits, F.col("_size")).otherwise(0)
+    judged = judged.withColumn("_kept", kept)
+    before = judged.groupBy("_block").agg(F.sum("_kept").alias("_sum"))
+    before = before.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    run = judged.join(before, "_block").withColumn("kept_bytes", F.col("_before") + F.sum("_kept").over(own) + retained)
+    over = F.col("kept_bytes") - F.col("_kept") + F.col("_size") > most
+    rejected = F.when(F.col("_size") > MAX_PAYLOAD, "PayloadTooLarge").when(over, "RetainedQuotaExceeded").otherwise(F.col("_reason"))
+    return run.withColumn("rejected", rejected).drop("_block", "_place", "_before", "_reason", "_size", "_kept")
 
 
 @dataclass

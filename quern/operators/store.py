@@ -7,8 +7,8 @@ before or after a change and nothing in between, and a failed write leaves orpha
 
 from __future__ import annotations
 
+import copy
 import json
-import os
 import uuid
 import zlib
 
@@ -86,9 +86,9 @@ class Store:
                     raise EngineError("MissingFile", name)
         return body
 
-    def _publish(self) -> None:
-        """Write beside, then rename over: one atomic step."""
-        body = json.dumps(self.manifest, sort_keys=True)
+    def _publish(self, manifest: dict) -> None:
+        """Write beside, then rename over: one atomic step. Only then does memory follow."""
+        body = json.dumps(manifest, sort_keys=True)
         part = self._path(f"{self.folder}/.manifest-{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps({"body": body, "crc32": zlib.crc32(body.encode())}).encode()))
@@ -98,6 +98,7 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(part, self._path(f"{self.folder}/MANIFEST.json"), options)
+        self.manifest = manifest
 
     def _write(self, rows: DataFrame, name: str) -> str:
         target = f"{name}-{uuid.uuid4().hex}"
@@ -117,24 +118,30 @@ class Store:
         key = self.manifest["tables"][table]["key"]
         return newest(self.entries(table).where(F.col(key) == F.lit(key_value)), key)
 
+    def _changed(self, table: str, key: str | None = None) -> tuple[dict, dict]:
+        """A copy of the manifest to publish, and the table's entry in it."""
+        new = copy.deepcopy(self.manifest)
+        if key is not None:
+            new["tables"].setdefault(table, {"key": key, "files": [], "level1": 0, "serial": 0})
+        return new, new["tables"][table]
+
     def flush(self, table: str, rows: DataFrame, key: str) -> None:
         """The live rows as one more dataset, with tombstones for keys gone since earlier ones."""
-        known = self.manifest["tables"].setdefault(table, {"key": key, "files": [], "level1": 0, "serial": 0})
-        seq = self.manifest["published"] + 1
+        new, known = self._changed(table, key)
+        seq = new["published"] + 1
         entries = rows.withColumn("_seq", F.lit(seq).cast("bigint")).withColumn("_deleted", F.lit(False))
         if known["files"]:
             gone = tombstones(self.entries(table), rows, key)
             entries = entries.unionByName(gone.withColumn("_seq", F.lit(seq).cast("bigint")).withColumn("_deleted", F.lit(True)), allowMissingColumns=True)
-        name = self._write(entries.repartitionByRange(key).sortWithinPartitions(key), table)
-        known["files"].append(name)
-        self.manifest["published"] = seq
-        self._publish()
+        known["files"].append(self._write(entries.repartitionByRange(key).sortWithinPartitions(key), table))
+        new["published"] = seq
+        self._publish(new)
 
     def compact(self, table: str) -> None:
-        known = self.manifest["tables"][table]
+        new, known = self._changed(table)
         known["files"] = [self._write(compact(self.entries(table), known["key"]), table)]
         known["level1"] = 1
-        self._publish()
+        self._publish(new)
 
     def compaction_due(self) -> list[str]:
         """Tables with COMPACT_FILES or more datasets beside the compacted one."""
@@ -160,9 +167,9 @@ class Store:
 
     def next_serial(self, table: str, n: int = 1) -> int:
         """The first of n new numbers; never given twice, whatever is deleted."""
-        known = self.manifest["tables"][table]
+        new, known = self._changed(table)
         known["serial"] += n
-        self._publish()
+        self._publish(new)
         return known["serial"] - n + 1
 
 

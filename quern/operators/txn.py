@@ -45,6 +45,15 @@ def round_winners(staged: DataFrame, unique: str, position: str) -> DataFrame:
     return staged.join(first, unique, "left").withColumn("won", F.coalesce(F.col(position) == F.col("_first"), F.lit(True))).drop("_first")
 
 
+def claimed_twice(last: DataFrame, current: DataFrame, unique: str, key: str | None) -> DataFrame:
+    """Values of a unique column that a write set's last writes claim although another row of it, or a published row that it leaves alone, holds them; nulls are free."""
+    claims = last.where(F.col("_op") != "delete")
+    left = current if key is None else current.join(last.select(key), key, "left_anti")
+    claims, left = (df.where(F.col(unique).isNotNull()).select(F.col(unique).alias("value")) for df in (claims, left))
+    twice = claims.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    return twice.unionByName(claims.join(left, "value", "left_semi"))
+
+
 def constraint_report(table: DataFrame, key: str | None = None, not_null: list[str] = (), unique: list[str] = ()) -> DataFrame:
     """constraint, column, value, n: duplicate keys, nulls, and repeated unique values; nulls never repeat."""
     found = []

@@ -161,10 +161,10 @@ def _ev_digest_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ev_observe_accept", """
-with c as (select page_id, case when page_id % 10 = 3 then 'Text/HTML' else 'text/html' end as media, case when page_id % 10 = 7 then '2026-01-01 00:00:00' else '2026-01-01T00:00:00Z' end as seen, strlen(html)::bigint as size from pages),
+with recursive c as (select page_id, row_number() over (order by page_id) as n, case when page_id % 10 = 3 then 'Text/HTML' else 'text/html' end as media, case when page_id % 10 = 7 then '2026-01-01 00:00:00' else '2026-01-01T00:00:00Z' end as seen, strlen(html)::bigint as size from pages),
 j as (select *, case when media <> lower(media) then 'InvalidMediaType' when seen not like '%Z' then 'InvalidObservationTime' end as bad from c),
-r as (select *, sum(case when bad is null then size else 0 end) over (order by page_id)::bigint as kept_bytes from j)
-select page_id + 1 as evidence_id, kept_bytes, coalesce(bad, case when kept_bytes > 500000 then 'RetainedQuotaExceeded' end) as rejected from r""")
+r as (select 0::bigint as n, 0::bigint as was, 0::bigint as kept union all select j.n, r.kept, case when bad is null and r.kept + size <= 500000 then r.kept + size else r.kept end from r join j on j.n = r.n + 1)
+select page_id + 1 as evidence_id, kept as kept_bytes, case when was + size > 500000 then 'RetainedQuotaExceeded' else bad end as rejected from j join r using (n)""")
 def _ev_observe_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages offered as evidence, some with bad metadata, under a quota of half a megabyte."""
     page = (F.col("evidence_id") - 1) % 10
@@ -251,6 +251,21 @@ def _tx_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn.round_winners(A.load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", "won")
 
 
+STAGED = "(select s_suppkey as key, s_acctbal < 0 as gone, case when s_nationkey <> 0 then 2 * (s_suppkey - s_suppkey % 2) end as slot from supplier)"
+
+
+@query("tx_commit_unique", f"""
+select slot::bigint as value from (select slot from {STAGED} where not gone union all select c_custkey from customer where c_custkey not in (select key from {STAGED}))
+where slot is not null group by slot having count(*) > 1""")
+def _tx_commit_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer holds the slot of its key; a write set updates or deletes a row per supplier and claims slots that others, or two of its rows, hold."""
+    current = A.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("slot"))
+    op = F.when(F.col("s_acctbal") < 0, "delete").otherwise("update")
+    slot = F.when(F.col("s_nationkey") != 0, 2 * (F.col("s_suppkey") - F.col("s_suppkey") % 2))
+    last = A.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), slot.alias("slot"), op.alias("_op"))
+    return txn.claimed_twice(last, current, "slot", "key").distinct()
+
+
 @query("constraint_check", """
 select 'primary_key' as "constraint", 'p_partkey' as "column", p_partkey::varchar as value, count(*) as n from part group by p_partkey having count(*) > 1
 union all select 'unique', 'p_name', p_name, count(*) from part group by p_name having count(*) > 1

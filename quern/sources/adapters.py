@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.cells import cell, fields_map
+from quern.functions.cells import cell
 from quern.functions.evidence import digest_hex
 from quern.operators.versions import close_intervals
 
-from .catalog import EVIDENCE, Catalog, Documents, Evidence, Graph, Kv, Relation, relation, widen
+from .catalog import EVIDENCE, Catalog, Documents, Evidence, Graph, Kv, Part, Relation, Side, relation, widen
 
 KEYS = {"customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
 OBSERVED_AT = "2026-01-01T00:00:00+00:00"
@@ -34,44 +34,43 @@ def labelled(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def documents(spark: SparkSession, sf_dir: str) -> Catalog:
     """docs: meta.lang, meta.source, n_chars, quality, toxic; absent where a document has no label."""
-    both = load(spark, sf_dir, "documents").drop("text").join(load(spark, sf_dir, "labels"), "doc_id", "left")
-    fields = {"meta.lang": cell("text", F.col("lang")), "meta.source": cell("text", F.col("source"))} | {n: cell("int", F.col(n)) for n in ("n_chars", "quality", "toxic")}
-    docs = both.select(F.col("doc_id").cast("string").alias("id"), fields_map(fields).alias("fields"), F.col("doc_id").alias("_row_seq"))
-    return Catalog().add("docs", Documents(docs))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("_row_seq"), "doc_id", "lang", "source", "n_chars")
+    labels = Side(load(spark, sf_dir, "labels"), "doc_id", {n: ("int", n) for n in ("quality", "toxic")})
+    return Catalog().add("docs", Documents(parts=(Part(docs, {"meta.lang": ("text", "lang"), "meta.source": ("text", "source"), "n_chars": ("int", "n_chars")}, (labels,)),)))
 
 
-def _nodes(df: DataFrame, prefix: str, key: str, fields: dict[str, Column], after: int) -> DataFrame:
-    return df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), fields_map(fields).alias("fields"), (F.col(key) + after).alias("_row_seq"))
+def _nodes(df: DataFrame, prefix: str, key: str, texts: dict[str, str], after: int) -> Part:
+    """Nodes named by a prefix and a key, with text fields by column."""
+    rows = df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), (F.col(key) + after).alias("_row_seq"), *texts.values())
+    return Part(rows, {path: ("text", column) for path, column in texts.items()})
 
 
 def sales(spark: SparkSession, sf_dir: str) -> Catalog:
     """Customers and their orders; customers come first."""
     customer, orders = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
-    text = lambda c: cell("text", F.col(c))
-    nodes = _nodes(customer, "c", "c_custkey", {"name": text("c_name"), "segment": text("c_mktsegment")}, 0).unionByName(
-        _nodes(orders, "o", "o_orderkey", {"status": text("o_orderstatus"), "priority": text("o_orderpriority")}, 1 << 40)
+    nodes = (
+        _nodes(customer, "c", "c_custkey", {"name": "c_name", "segment": "c_mktsegment"}, 0),
+        _nodes(orders, "o", "o_orderkey", {"status": "o_orderstatus", "priority": "o_orderpriority"}, 1 << 40),
     )
     edges = orders.select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.lit("placed").alias("label"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target"), F.col("o_orderkey").alias("_row_seq")
     )
-    return Catalog().add("sales", Graph(nodes, edges))
+    return Catalog().add("sales", Graph(None, edges, nodes))
 
 
 def places(spark: SparkSession, sf_dir: str) -> Catalog:
     """Nations in regions, suppliers and customers in nations."""
     tables = {n: load(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer")}
     short = {"region": ("r", "r_regionkey", "r_name"), "nation": ("n", "n_nationkey", "n_name"), "supplier": ("s", "s_suppkey", "s_name"), "customer": ("c", "c_custkey", "c_name")}
-    nodes = edges = None
-    for k, (name, (letter, key, label)) in enumerate(short.items()):
-        own = _nodes(tables[name], letter, key, {"name": cell("text", F.col(label))}, k << 40)
-        nodes = own if nodes is None else nodes.unionByName(own)
+    nodes = tuple(_nodes(tables[name], letter, key, {"name": label}, k << 40) for k, (name, (letter, key, label)) in enumerate(short.items()))
+    edges = None
     for k, (name, link, edge, target) in enumerate((("nation", "n_regionkey", "in_region", "r"), ("supplier", "s_nationkey", "in_nation", "n"), ("customer", "c_nationkey", "in_nation", "n"))):
         letter, key, _ = short[name]
         own = tables[name].select(
             F.concat(F.lit(letter), F.col(key).cast("string")).alias("source"), F.lit(edge).alias("label"), F.concat(F.lit(target), F.col(link).cast("string")).alias("target"), (F.col(key) + (k << 40)).alias("_row_seq")
         )
         edges = own if edges is None else edges.unionByName(own)
-    return Catalog().add("places", Graph(nodes, edges))
+    return Catalog().add("places", Graph(None, edges, nodes))
 
 
 def part_sizes(spark: SparkSession, sf_dir: str) -> Catalog:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import BindError, EngineError
+from quern.functions.cells import cell, fields_map
 
 #: The evidence view's fixed name and columns.
 EVIDENCE = "observation_evidence"
@@ -32,18 +33,76 @@ class Relation:
 
 
 @dataclass
-class Documents:
-    """id, fields (a map of dotted paths to cells), _row_seq."""
+class Side:
+    """Further columns of a part: df has at most one row for each value of its column `on`."""
 
     df: DataFrame
+    on: str
+    paths: dict[str, tuple[str, str]]
+
+
+@dataclass
+class Part:
+    """Rows of one shape: id, _row_seq and columns; paths gives each dotted path's type and column.
+
+    A path is bound to its column, so tests reach the scan, only the columns asked for are read,
+    and a side is joined only where one of its paths is asked for.
+    """
+
+    df: DataFrame
+    paths: dict[str, tuple[str, str]]
+    sides: tuple[Side, ...] = ()
+
+    def of(self, path: str) -> tuple[str, Column] | None:
+        """Type and column of a path, None if these rows don't have it."""
+        for paths in (self.paths, *(s.paths for s in self.sides)):
+            if path in paths:
+                return paths[path][0], F.col(f"`{paths[path][1]}`")
+        return None
+
+    def frame(self, asked: set[str]) -> DataFrame:
+        out = self.df
+        for s in self.sides:
+            if asked & set(s.paths):
+                out = out.join(s.df, s.on, "left")
+        return out
+
+    def cells(self) -> DataFrame:
+        """id, fields, _row_seq."""
+        every = [*self.paths, *(p for s in self.sides for p in s.paths)]
+        return self.frame(set(every)).select("id", fields_map({p: cell(*self.of(p)) for p in every}).alias("fields"), "_row_seq")
+
+
+def _union(parts: tuple[Part, ...]) -> DataFrame:
+    out = parts[0].cells()
+    for p in parts[1:]:
+        out = out.unionByName(p.cells())
+    return out
+
+
+@dataclass
+class Documents:
+    """id, fields (a map of dotted paths to cells), _row_seq; or parts of declared shapes, from which df follows."""
+
+    df: DataFrame | None = None
+    parts: tuple[Part, ...] = ()
+
+    def __post_init__(self):
+        if self.df is None:
+            self.df = _union(self.parts)
 
 
 @dataclass
 class Graph:
     """nodes as documents; edges (source, label, target, _row_seq)."""
 
-    nodes: DataFrame
+    nodes: DataFrame | None
     edges: DataFrame
+    parts: tuple[Part, ...] = ()
+
+    def __post_init__(self):
+        if self.nodes is None:
+            self.nodes = _union(self.parts)
 
 
 @dataclass

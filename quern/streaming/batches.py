@@ -75,8 +75,9 @@ def batch_plan(df: DataFrame, order: str, rows: int = BATCH_ROWS) -> DataFrame:
     """df with the number of the batch that each row goes out in, by row count alone.
 
     The rows' places come from prefix sums over ranges of the order, not from one sorted task.
+    Rows without a place in the order come first.
     """
-    block = F.floor(F.col(order) / 65536)
+    block = F.coalesce(F.floor(F.col(order) / 65536), F.lit(-(1 << 62)))
     counts = df.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_block").orderBy(order)
