@@ -13,11 +13,9 @@ come from counts per task. The driver sees one count per length, at most `capaci
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,44 +26,51 @@ from .common import cut
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-
-
-#: Letters below have had their properties and lower-case forms for long; from here on the tokenizer itself looks.
-LATIN_END = "\u0250"
-#: How byte-level vocabularies write the bytes that aren't printable Latin-1: the next free characters from U+0100 on.
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-
-
-class WordIds(dict):
-    """Ids of white-space-free strings, packed as little-endian 32-bit integers, encoded when first met.
-
-    The tokenizer drops white space and lets nothing span it, so a text's ids are those of its
-    parts. A run of letters and a comma or full stop after it are encoded apart, as the
-    tokenizer itself would, and ASCII letters in lower case; that keeps the number of strings low.
+#: Bytes of text that a task encodes at a time; a longer text alone.
+RUN_BYTES = 4 << 20
+
+#: The steps before the model for which splitting at white space and at a word's last comma or full stop is proven neutral (tests/llm/test_token_ids.py).
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class TextIds:
+    """Ids of texts, as the tokenizer gives them.
+
+    Where its steps are the known ones, it drops white space, nothing spans white space, and a run
+    of letters is a word of its own. Then texts are split at ASCII white space, and a batch's
+    distinct strings are encoded once: runs of ASCII letters by the model, others by the whole
+    tokenizer, many at a time. A comma or full stop after ASCII letters is split off. Strings met
+    before come from a cache of bounded size. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, room: int = 500_000, at_once: int = 20_000):
+    def __init__(self, path: str, room: int = 300_000, at_once: int = 20_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.room, self.at_once = Tokenizer.from_file(path), room, at_once
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = all(steps[k] == v for k, v in KNOWN_STEPS.items())
+        self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}  # what was known before; strings met again come back from it
 
-    def encode(self, strings: list[str]) -> dict[str, bytes]:
-        """Ids of strings. A run of Latin letters is one word to the tokenizer: it goes to the model without the steps before."""
-        out: dict[str, bytes] = {}
-        others = []
-        tokenize = self.tokenizer.model.tokenize
+    def encode(self, strings: list[str]) -> None:
+        """Learn strings without ASCII white space."""
+        known, tokenize, others = self.known, self.tokenizer.model.tokenize, []
         for s in strings:
-            word = s if s.isascii() else unicodedata.normalize("NFC", s).lower()
-            if word.isalpha() and max(word) < LATIN_END:
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(_SHOWN)
-                out[s] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            if s.isascii() and s.isalpha():
+                known[s] = array("I", [t.id for t in tokenize(s.lower())]).tobytes()
             else:
                 others.append(s)
         for i in range(0, len(others), self.at_once):
@@ -76,44 +81,58 @@ class WordIds(dict):
             ids = np.array(found.ids, dtype="<u4")
             at = np.array([a for a, _ in found.offsets], dtype=np.int64)
             cuts = np.searchsorted(at, np.append(starts, np.iinfo(np.int64).max))
-            out.update((s, ids[a:b].tobytes()) for s, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
-        return out
-
-    def learn(self, strings: set[str]) -> None:
-        old, new, stems = self.old, {}, set()
+            known.update((s, ids[a:b].tobytes()) for s, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def of_strings(self, strings: list[str]) -> list[bytes]:
+        known, old = self.known, self.old
+        if len(known) > self.room:
+            self.old, self.known = known, {"": b""}
+            known, old = self.known, self.old
+        new, split = set(), []
         for s in strings:
-            known = old.get(s)
-            if known is not None:
-                self[s] = known
+            if s in known:
                 continue
-            low = s.lower() if s.isascii() else s
-            new[s] = stem, tail = (low[:-1], low[-1]) if low[-1:] in (",", ".") and low[:-1].isalpha() else (low, "")
-            stems.add(stem)
-            stems.add(tail)
-        ids = {s: self.get(s) or old.get(s) for s in stems}
-        ids[""] = b""
-        ids.update(self.encode([s for s, known in ids.items() if known is None]))
-        for s, (stem, tail) in new.items():
-            self[s] = ids[stem] + ids[tail]
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.room // 2:
-            self.old = dict(self)
-            self.clear()
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(parts)).difference(self))
-        get = self.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-_words: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
+            if (ids := old.get(s)) is not None:
+                known[s] = ids
+            elif s[-1] in ",." and (stem := s[:-1]).isascii() and stem.isalpha():
+                split.append((s, stem, s[-1]))
+                new.update((stem, s[-1]))
+            else:
+                new.add(s)
+        new = [s for s in new if s not in known]
+        self.encode(new)
+        for s, stem, tail in split:
+            known[s] = known[stem] + known[tail]
+        return [known[s] for s in strings]
+
+    def of_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of texts in a row, and len + 1 offsets into them; null is empty."""
+        import pyarrow.compute as pc
+
+        if not self.by_words:
+            found = [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+            return np.concatenate([*found, np.empty(0, "<u4")]), np.cumsum([0, *map(len, found)])
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        own = self.of_strings(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in own], dtype=np.int64)
+        every, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        ids = every[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[word] - (ends - n), n)]
+        at = lists.offsets.to_numpy()
+        return ids, np.concatenate([[0], ends])[at - at[0]]
+
+
+_texts: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
     """This worker's; it outlives a task."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    if path not in _texts:
+        _texts[path] = TextIds(path)
+    return _texts[path]
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -136,34 +155,34 @@ def tokenize_pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        words, end = word_ids(tokenizer_path(path)), np.array([end_id], "<u4").tobytes()
+        of = text_ids(tokenizer_path(path))
         for batch in batches:
-            texts, row = [t or "" for t in batch.column(1).to_pylist()], 0
-            while row < len(texts):
-                to, room = row, 1 << 20
-                while to < len(texts) and (to == row or room > 0):
-                    room -= len(texts[to])
-                    to += 1
-                rows: list[list] = [[] for _ in range(6 + keep_ids)]
-                at = []
-                for i, ids in enumerate(words.of_texts(texts[row:to]), row):
-                    ids += end
-                    n = len(ids) // 4
-                    for piece, a in enumerate(range(0, n, capacity)):
-                        b = min(a + capacity, n)
-                        own = ids[4 * a : 4 * b]
-                        at.append(i)
-                        values = [piece, a, b - a, zlib.crc32(own), part, seen[b - a]]
-                        if keep_ids:
-                            values.append(np.frombuffer(own, "<i4"))
-                        for column, v in zip(rows, values):
-                            column.append(v)
-                        seen[b - a] += 1
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-                arrays = [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(rows, kinds)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            ends, row = np.cumsum(sizes), 0
+            while row < batch.num_rows:
+                to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + RUN_BYTES, side="right")))
+                ids, at = of.of_texts(batch.column(1).slice(row, to - row))
+                n = np.diff(at)
+                ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
+                raw = memoryview(ids.astype("<u4").tobytes())
+                pieces = (n + capacity) // capacity  # n + 1 ids each
+                owner = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(n[owner] + 1 - start, capacity)
+                first = at[owner] + start
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist())]
+                local = []
+                for k in length.tolist():
+                    local.append(seen[k])
+                    seen[k] += 1
+                arrays = [batch.column(0).take(pa.array(row + owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), part), pa.int32()), pa.array(local, pa.int64())]
+                if keep_ids:
+                    arrays.append(pa.array([ids[a : a + k].astype("<i4") for a, k in zip(first.tolist(), length.tolist())], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32", "part", "local", "ids"][: len(arrays)])
                 row = to
 

@@ -14,7 +14,7 @@ from quern.llm.html_extract import Labeller, extract_main, made_pages, parse
 from quern.llm.lm_score import score_documents
 from quern.llm.mixing import mix_sources
 from quern.llm.near_dedup import near_dedup
-from quern.llm.packing import WordIds, pack_documents, plan_best_fit, tokenizer_path
+from quern.llm.packing import TextIds, pack_documents, plan_best_fit, tokenizer_path
 from quern.llm.toxicity import score_toxicity
 
 DOC = "doc_id long, text string, source string, _row string, id string, size string, node string, name string"
@@ -122,7 +122,7 @@ def test_chat(spark):
 def test_packing(spark):
     rows = [*ROWS, (20, "<|endoftext|> Don't, STOP... naïve.x\x1cy ΑΣ, é.", "a"), (21, "a" * 50_000, "b")]
     got = by_id(pack_documents(docs(spark, rows), keep_ids=True))
-    tokenizer = WordIds(tokenizer_path(None)).tokenizer
+    tokenizer = TextIds(tokenizer_path(None)).tokenizer
     left = {}
     for i, t, _ in rows:
         left.setdefault(i, []).append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
