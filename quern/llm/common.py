@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,30 @@ def release(*frames: DataFrame) -> None:
             remove_dir(frame.sparkSession, at.get())
 
 
+def free_name(docs: DataFrame, base: str) -> str:
+    """A column name that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while base in taken:
+        base = "_" + base
+    return base
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells its rows apart and is the same in every scan.
+
+    Rows of Parquet files are known by their file, as 128 bits of hash, and their place in it, so
+    it doesn't matter how a scan is split, or split anew after an executor is lost. Other frames
+    are written once with their rows' numbers.
+    """
+    if "_metadata" not in docs.columns:
+        path = F.col("_metadata.file_path")
+        try:
+            return docs.withColumn(name, F.struct(F.xxhash64(path).alias("a"), F.xxhash64(path, F.lit(1)).alias("b"), F.col("_metadata.row_index").alias("n")))
+        except AnalysisException:  # not read from Parquet files
+            pass
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 

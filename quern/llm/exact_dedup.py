@@ -13,7 +13,7 @@ before they are named, and the join back to the names can be split by adaptive e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions
@@ -33,15 +33,15 @@ def _bucket(h, n: int):
     return F.pmod(h, F.lit(n))
 
 
-def _name_blocks(docs: DataFrame, text: str, id_col: str, block_bytes: int) -> DataFrame:
+def _name_blocks(docs: DataFrame, text: str, id_col: str, block_bytes: int, row: Column) -> DataFrame:
     """_row, id, sha, blocks, idx, name: one row per block."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     n = parts * BUCKETS
     whole = F.coalesce(F.col(text), F.lit(""))
     pieces = (
-        docs.select(F.col(id_col).alias("id"), whole.alias("text"))
-        .select("id", F.monotonically_increasing_id().alias("_row"), F.sha2(F.col("text"), 256).alias("sha"), _blocks(F.col("text"), block_bytes).alias("b"))
+        docs.select(F.col(id_col).alias("id"), whole.alias("text"), row.alias("_row"))
+        .select("id", "_row", F.sha2(F.col("text"), 256).alias("sha"), _blocks(F.col("text"), block_bytes).alias("b"))
         .select("id", "_row", "sha", F.size("b").alias("blocks"), F.posexplode("b").alias("idx", "block"))
         .withColumn("sha", F.when(F.col("idx") == 0, F.col("sha")))
         .withColumn("h", F.xxhash64("block"))
@@ -84,12 +84,12 @@ def _name_pairs(names: DataFrame) -> DataFrame:
     return cut(pairs.join(cut(named), ["a", "b"]).select("_row", "idx", "name"))
 
 
-def name_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def name_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, row: Column | None = None) -> DataFrame:
     """One row per row of docs: _row, id, sha (SHA-256 of the text, hex), blocks, name.
 
     Two rows have equal (blocks, name) exactly when their texts are equal; null counts as empty.
     """
-    level = cut(_name_blocks(docs, text, id_col, block_bytes))
+    level = cut(_name_blocks(docs, text, id_col, block_bytes, F.monotonically_increasing_id() if row is None else row))
     heads = level.where("idx = 0").select("_row", "id", "sha", "blocks", "name")
     most = level.agg(F.max("blocks")).first()[0] or 1
     done, level = heads.where("blocks = 1"), level.where("blocks > 1").select("_row", "idx", "name")
@@ -101,14 +101,15 @@ def name_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return done
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, row: Column | None = None) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, _row.
 
     Of equal texts the row with the largest id stays; null ids come last, and of repeated rows
     with one id exactly one stays. Null text equals empty text. Other columns aren't read, and
-    an empty table gives no rows. _row numbers docs' rows in scan order.
+    an empty table gives no rows. _row is the expression row, which must tell docs' rows apart, or
+    else numbers them in scan order.
     """
-    named = cut(name_documents(docs, text, id_col, block_bytes))
+    named = cut(name_documents(docs, text, id_col, block_bytes, row))
     groups = named.groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "_row")).alias("last")).where("group_size > 1")
     size, last = F.coalesce(F.col("group_size"), F.lit(1)).cast("long"), F.col("last._row")
     return named.join(cut(groups), ["blocks", "name"], "left").select(
