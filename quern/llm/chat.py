@@ -35,8 +35,8 @@ SYSTEM, USER, ASSISTANT, TOOL, ROLE, ROLE_END, CLOSE = range(FIRST_RESERVED, FIR
 _NAMES = "|".join([*(r.capitalize() for r in KNOWN_ROLES), "Role", "End"])
 _CONTROL = re.compile(rf"\\|(?<=<)/(?=turn>)|(?<=#)##(?= (?:{_NAMES}):)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-#: Characters encoded at once; the ids of a longer text are those of its parts.
-PART = 100_000
+#: White space (Unicode's property) in long runs, which the tokenizer's regular expression has no stack for.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def escape(text: str) -> str:
@@ -62,7 +62,19 @@ class Codec:
         self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        return [i for a in range(0, len(text), PART) for i in self.coder.encode_ordinary(text[a : a + PART])]
+        """The tokenizer's ids of the whole text.
+
+        A long run of white space is taken out and encoded as the one piece that it is to the
+        tokenizer: all of it at the text's end, else all but its last character, which goes with
+        what follows.
+        """
+        out, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.coder.encode_ordinary(text[at : m.start()])
+            out += self.coder._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return out + self.coder.encode_ordinary(text[at:])
 
     def decode(self, ids) -> str:
         return self.coder.decode_bytes(ids).decode("utf-8")
