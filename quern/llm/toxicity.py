@@ -1,17 +1,25 @@
-"""Toxicity from class-conditional Kneser-Ney models.
+"""Toxicity from class-conditional Kneser-Ney models of word pairs.
 
-For toxic and ordinary texts apart, a word's probability is its discounted count of documents
-and, for the mass so freed, the class's probability of the word's first bytes times the word's
-share among words that start so in both classes: rare and unseen expressions get their weight
-from counts that the classes share. A word's ratio is the difference of its log-likelihoods.
-A text is described by that difference over all its words, normalised by their number, and
-over its TOP most telling distinct words; a logistic function of these gives the score.
+Two models, of toxic and of ordinary texts, give each word a probability after the word before it.
+Each is a chain of discounted counts, and what a level's discounts set free goes to the next:
 
-The models are fitted on at most SAMPLE labelled rows of each class, those with the smallest
-hashes of their ids, a quarter of them kept out of the counts to fit the logistic function; its
-classes are weighted back to the labels' shares. All else covers all rows.
+1. the class's counts of the pair; 2. in how many classes the pair occurs, shared by both;
+3. the class's distinct predecessors of the word; 4. the class's distinct words with the same
+first bytes, dealt evenly over the words that start so in either class; 5. in how many classes
+such a start occurs, shared by both, and a uniform rest.
 
-Scale: one pass over the texts, no shuffle of texts; the models' size follows the sample's bound.
+So rare and unseen expressions get their weight from counts that the classes share, and what
+differs between the classes is what many texts of one of them say. The difference of the two
+log-likelihoods, normalised by length, is taken over the whole text, over its passages of
+PASSAGES words where it is largest, and for its TOP most telling distinct words; a logistic
+function of these gives the score.
+
+The models are fitted on at most SAMPLE labelled rows of each class with at most SAMPLE_BYTES of
+text, those with the smallest hashes of their ids, a quarter of them kept out of the counts to fit
+the logistic function; its classes are weighted back to the labels' shares. All else covers all rows.
+
+Scale: one pass over the texts, no shuffle of texts. The sample's pairs are counted by a shuffle;
+the driver sees what remains of words, starts and pairs after discounts, bounded by the sample.
 """
 
 from __future__ import annotations
@@ -20,71 +28,156 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, document_words
-from .lm_score import _sum_by, _unzip, _zip, fold
+from .common import SPACES, cut, document_words, mix, release
+from .lm_score import END, fold
 
-#: Labelled rows of each class that the models are fitted on, at most.
-SAMPLE = 10_000
-TOP = 6
+#: Labelled rows of each class that the models are fitted on, at most, and the longest text among them.
+SAMPLE, SAMPLE_BYTES = 10_000, 200_000
+TOP, PASSAGES = 6, (2, 8)
 PREFIX = 4
-DISCOUNT = 0.75
+#: What is taken off a count of 1, 2, and 3 or more: of pairs, and of a word's predecessors.
+PAIR_DISCOUNT, WORD_DISCOUNT = (1, 2, 3), (1.0, 1.2, 1.5)
+#: Of a start's words in a class, and of the number of classes that have it.
+START_DISCOUNT, SHARED_DISCOUNT = 0.75, 0.5
 #: Bytes between words: white space and ASCII symbols.
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[[*SPACES, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def words_of(column):
-    """For runs of rows: first row, word hashes, len + 1 offsets, prefix hashes."""
-    return document_words(column, space=_GAPS, prefix=PREFIX)
+class Pairs:
+    """A run of rows' words with the words before them (END before the first), first bytes, and rows."""
+
+    def __init__(self, row: int, hashes: np.ndarray, at: np.ndarray, starts: np.ndarray):
+        self.row, self.n, self.size = row, len(at) - 1, np.diff(at)
+        self.word, self.start, self.first = hashes, starts, at[:-1]
+        self.before = np.empty_like(hashes)
+        self.before[1:] = hashes[:-1]
+        self.before[self.first[self.size > 0]] = END
+        self.owner = np.repeat(np.arange(self.n), self.size)
+
+
+def pairs_of(column):
+    return (Pairs(*run) for run in document_words(column, space=_GAPS, prefix=PREFIX))
+
+
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _left(counts: np.ndarray, discount: tuple) -> np.ndarray:
+    return np.maximum(counts - np.array([0, *discount])[np.minimum(counts, 3)], 0.0)
+
+
+class Lookup:
+    """Columns by sorted 64-bit keys; zeros for a key that isn't known."""
+
+    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.columns = keys[order], [np.asarray(c)[order] for c in columns]
+
+    def __call__(self, asked: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros((len(asked), *c.shape[1:])) for c in self.columns]
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        hit = self.keys[at] == asked
+        return [np.where(hit.reshape(-1, *[1] * (c.ndim - 1)), c[at], 0) for c in self.columns]
 
 
 class Ratios:
-    """Log-likelihood ratios of words from document counts; arrays sorted by hash."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, prefixes: np.ndarray, in_prefix: np.ndarray):
-        """counts and in_prefix have a column for ordinary and one for toxic texts."""
-        self.prefixes = prefixes
-        n = np.maximum(counts.sum(0), 1).astype(np.float64)
-        both = in_prefix.sum(1)
-        start = (np.maximum(both - DISCOUNT, 0) + DISCOUNT) / n.sum()
-        self.prefix_p = np.maximum(in_prefix - DISCOUNT, 0) / n + DISCOUNT * (in_prefix > 0).sum(0) / n * start[:, None]
-        self.prefix_n = both.astype(np.float64)
-        self.weight = DISCOUNT * (counts > 0).sum(0) / n
-        self.words, self.own, self.seen = words, np.maximum(counts - DISCOUNT, 0) / n, counts.sum(1).astype(np.float64)
-        self.unseen = DISCOUNT * (in_prefix > 0).sum(0) / n * DISCOUNT / n.sum()
-
-    def of(self, words: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-        def place(known, asked):
-            at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
-            return at, (known[at] == asked if len(known) else np.zeros(len(asked), bool))
-
-        at, hit = place(self.words, words)
-        pat, phit = place(self.prefixes, prefixes)
-        if not len(self.words):
-            return np.zeros(len(words))
-        lower = np.where(phit[:, None], self.prefix_p[pat], self.unseen)
-        within = (np.where(hit, np.maximum(self.seen[at] - DISCOUNT, 0), 0) + DISCOUNT) / (np.where(phit, self.prefix_n[pat], 0) + 1)
-        p = np.where(hit[:, None], self.own[at], 0) + self.weight * lower * within[:, None] + 1e-30
-        return np.log(p[:, 1]) - np.log(p[:, 0])
+    """The two models' difference of log-likelihoods for words in their contexts.
+
+    pairs: before, word, n0, n1 (ordinary, toxic) of those that discounts leave or that both
+    classes have; contexts: before, n0, n1 (words after it), lost0, lost1 (what discounts took),
+    classes (summed over its pairs), kinds (of words after it) of contexts of these pairs; words:
+    word, m0, m1 (distinct predecessors) of those that discounts leave; starts: start, k0, k1, k
+    (distinct words of each class, of both); total: m0, m1, lost0, lost1 over all words.
+    """
+
+    def __init__(self, pairs, contexts, words, starts, total):
+        two = lambda t, *names: np.stack([np.asarray(t[n], np.float64) for n in names], axis=1)
+        hashes = lambda x: np.asarray(x).astype(np.int64).view(np.uint64)
+        n = two(pairs, "n0", "n1").astype(np.int64)
+        self.pairs = Lookup(pair_key(hashes(pairs["before"]), hashes(pairs["word"])), _left(n, PAIR_DISCOUNT), (n > 0).sum(1) - 1.0)
+        after = np.maximum(two(contexts, "n0", "n1"), 1)
+        seen, kinds = (np.asarray(contexts[k], np.float64) for k in ("classes", "kinds"))
+        # what a context gives on at either level; an unknown context gives all
+        self.contexts = Lookup(hashes(contexts["before"]), np.where(two(contexts, "n0", "n1") > 0, two(contexts, "lost0", "lost1") / after, 1) - 1, 1 / after, kinds / np.maximum(seen, 1) - 1, 1 / np.maximum(seen, 1))
+        m = np.maximum(np.array([total["m0"], total["m1"]], np.float64), 1)
+        self.words = Lookup(hashes(words["word"]), _left(two(words, "m0", "m1").astype(np.int64), WORD_DISCOUNT) / m)
+        self.rest = np.array([total["lost0"], total["lost1"]]) / m
+        k = two(starts, "k0", "k1")
+        of = np.maximum(k.sum(0), 1)
+        both = (k > 0).sum(1)
+        all_ = max(both.sum(), 1)
+        even = SHARED_DISCOUNT * len(k) / all_ / (len(k) + 1)
+        given = START_DISCOUNT * (k > 0).sum(0) / of
+        start = np.maximum(k - START_DISCOUNT, 0) / of + given * ((both - SHARED_DISCOUNT) / all_ + even)[:, None]
+        self.unseen = given * even + 1e-30
+        self.starts = Lookup(hashes(starts["start"]), start / (np.asarray(starts["k"], np.float64) + 1)[:, None] - self.unseen)
+
+    def of(self, p: Pairs) -> np.ndarray:
+        (start,) = self.starts(p.start)
+        (own,) = self.words(p.word)
+        lower = own + self.rest * (start + self.unseen)
+        left, both = self.pairs(pair_key(p.before, p.word))
+        given, after, kinds, seen = self.contexts(p.before)
+        shared = (both * seen)[:, None] + (1 + kinds)[:, None] * lower
+        value = left * after + (1 + given) * shared
+        return np.log(value[:, 1]) - np.log(value[:, 0])
 
     def features(self, column):
-        """For runs of rows: first row, and for each row the mean ratio and the TOP largest of its distinct words' ratios, 0 at least."""
-        for row, hashes, at, prefixes in words_of(column):
-            n = len(at) - 1
-            known, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            ratio = self.of(known, prefixes[first])
-            owner = np.repeat(np.arange(n), np.diff(at))
-            x = np.zeros((n, 1 + TOP))
-            x[:, 0] = np.bincount(owner, weights=ratio[back], minlength=n) / np.maximum(np.diff(at), 1)
-            high = np.flatnonzero(ratio[back] > 0)
-            pairs = np.unique(owner[high] * len(known) + back[high]) if len(high) else np.empty(0, np.int64)
-            who, value = pairs // max(len(known), 1), ratio[pairs % max(len(known), 1)]
-            order = np.lexsort((-value, who))
-            who, value = who[order], value[order]
+        """For runs of rows: first row, and for each row the mean difference, its largest means over PASSAGES words, and those of its TOP distinct words, 0 at least."""
+        for p in pairs_of(column):
+            ratio = self.of(p) if len(p.word) else np.zeros(0)
+            x = np.zeros((p.n, 1 + len(PASSAGES) + TOP))
+            x[:, 0] = np.bincount(p.owner, weights=ratio, minlength=p.n) / np.maximum(p.size, 1)
+            run = np.concatenate([[0], np.cumsum(ratio)])
+            at = np.arange(len(ratio))
+            for k, n in enumerate(PASSAGES, 1):
+                np.maximum.at(x[:, k], p.owner, (run[at + 1] - run[np.maximum(at + 1 - n, p.first[p.owner])]) / n)
+            order = np.lexsort((-ratio, p.owner))
+            _, first = np.unique(mixed(p.word, p.owner)[order], return_index=True)  # a word once in a document
+            order = order[np.sort(first)]
+            who, value = p.owner[order], ratio[order]
             nth = np.arange(len(who)) - np.searchsorted(who, who)
-            top = nth < TOP
-            x[who[top], 1 + nth[top]] = value[top]
-            yield row, x
+            top = (nth < TOP) & (value > 0)
+            x[who[top], 1 + len(PASSAGES) + nth[top]] = value[top]
+            yield p.row, x
+
+
+def count_pairs(rows: DataFrame) -> Ratios | None:
+    """The models of rows (text, y 0 or 1); None unless both classes have words. The driver's part is bounded by rows."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            y = np.array(batch.column(1), dtype=np.int64)
+            for p in pairs_of(batch.column(0)):
+                own = y[p.row :][p.owner]
+                keys, first, back = np.unique(pair_key(p.before, p.word), return_index=True, return_inverse=True)
+                n = [np.bincount(back[own == c], minlength=len(keys)) for c in (0, 1)]
+                arrays = [pa.array(v[first].view(np.int64)) for v in (p.before, p.word, p.start)] + [pa.array(v.astype(np.int64)) for v in n]
+                yield pa.RecordBatch.from_arrays(arrays, names=["before", "word", "start", "n0", "n1"])
+
+    lost = lambda c, d: F.when(F.col(c) >= 3, F.lit(float(d[2]))).when(F.col(c) == 2, F.lit(float(d[1]))).when(F.col(c) == 1, F.lit(float(d[0]))).otherwise(F.lit(0.0))
+    has = lambda c: (F.col(c) > 0).cast("long")
+    counted = rows.select("text", "y").mapInArrow(count, "before long, word long, start long, n0 long, n1 long")
+    pairs = cut(counted.groupBy("before", "word").agg(F.min("start").alias("start"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    kept = cut(pairs.where(f"n0 > {PAIR_DISCOUNT[2]} or n1 > {PAIR_DISCOUNT[2]} or (n0 > 0 and n1 > 0)").select("before", "word", "n0", "n1"))
+    contexts = pairs.join(kept.select("before").distinct(), "before", "left_semi").groupBy("before").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(lost("n0", PAIR_DISCOUNT)).alias("lost0"), F.sum(lost("n1", PAIR_DISCOUNT)).alias("lost1"),
+        F.sum(has("n0") + has("n1")).alias("classes"), F.count(F.lit(1)).alias("kinds"),
+    )
+    words = cut(pairs.groupBy("word").agg(F.min("start").alias("start"), F.sum(has("n0")).alias("m0"), F.sum(has("n1")).alias("m1")))
+    starts = words.groupBy("start").agg(F.sum(has("m0")).alias("k0"), F.sum(has("m1")).alias("k1"), F.count(F.lit(1)).alias("k"))
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("m0", "m1")], *[F.coalesce(F.sum(lost(f"m{c}", WORD_DISCOUNT)), F.lit(0.0)).alias(f"lost{c}") for c in (0, 1)]).first().asDict()
+    out = None
+    if total["m0"] and total["m1"]:
+        arrow = lambda df: {k: v.to_numpy() for k, v in zip(df.columns, df.toArrow().columns)}
+        out = Ratios(arrow(kept), arrow(contexts), arrow(words.where("m0 > 1 or m1 > 1").select("word", "m0", "m1")), arrow(starts), total)
+    release(pairs, kept, words)
+    return out
 
 
 class Scorer:
@@ -96,7 +189,7 @@ class Scorer:
 
 
 def design(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, x[:, 1:3].sum(1) ** 2 / 10])
+    return np.column_stack([np.ones(len(x)), x])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -123,37 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: Column, id_col: str, label: st
     prior = shares.get(1, 0) / total if total else 0.0
     few = [known.where(F.col("y") == y).orderBy("h", "id").limit(sample).select("id", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(4)) == 0).alias("apart")) for y in (0, 1)]
     chosen = few[0].unionByName(few[1])  # at most 2 * sample ids
-    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "apart")
-
-    def count(batches):
-        """Documents of each class that a word occurs in, of a task's rows for the counts."""
-        import pyarrow as pa
-
-        held: list[tuple] = []
-        for batch in batches:
-            y = np.array(batch.column(1), dtype=np.int64)
-            for row, hashes, at, prefixes in words_of(batch.column(0)):
-                owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                _, first = np.unique(mixed(hashes, owner), return_index=True)  # a word once in a document
-                words, place = np.unique(hashes[first], return_index=True)
-                sums = np.zeros((len(words), 2), np.int64)
-                np.add.at(sums, (np.searchsorted(words, hashes[first]), y[row:][owner[first]]), 1)
-                held.append((words, sums, prefixes[first][place]))
-        if held:
-            words, prefixes = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
-            own, sums = _sum_by(words, np.concatenate([h[1] for h in held]))
-            first = np.unique(words, return_index=True)[1]
-            blobs = _zip(own, sums.astype("u4").reshape(-1), prefixes[first])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["words", "counts", "prefixes"])
-
-    found = rows.where("not apart").select("text", "y").mapInArrow(count, "words binary, counts binary, prefixes binary").collect()  # bounded by the sample
-    if not found or len(shares) < 2:
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "id").select("text", "y", "apart")
+    ratios = count_pairs(rows.where("not apart")) if len(shares) == 2 else None
+    if ratios is None:
         return Scorer(None, np.zeros(0), prior)
-    words = np.concatenate([_unzip(r["words"], "u8") for r in found])
-    prefixes = np.concatenate([_unzip(r["prefixes"], "u8") for r in found])
-    own, counts = _sum_by(words, np.concatenate([_unzip(r["counts"], "u4").reshape(-1, 2) for r in found]).astype(np.int64))
-    starts, in_prefix = _sum_by(prefixes[np.unique(words, return_index=True)[1]], counts)
-    ratios = Ratios(own, counts, starts, in_prefix)
     shared = spark.sparkContext.broadcast(ratios)
 
     def describe(batches):
