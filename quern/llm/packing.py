@@ -1,31 +1,46 @@
-"""Best-fit packing of tokenised documents into sequences, in rounds that the driver plans over counts per length.
-
-Pieces are ranked within their length (per task, then by prefix sums over tasks), and open
-sequences within their gap. A round takes the pieces of one length, longest first: a sweep over
-the gaps finds for each rank the smallest gap that holds it, equal wishes are resolved by rank,
-and the gaps shrink. Pieces of one length and sequences of one gap are interchangeable, so a
-round works on counts: at most `capacity` lengths and gaps, whatever the number of documents.
-The rounds' outcome is a list of intervals of ranks; each piece finds its place in it.
-
-Scale: texts are read once and not shuffled. No task holds the pieces of one length: ranks
-come from counts per task. The driver sees one count per length, at most `capacity` rows.
+"""Bulk-synchronous best-fit packing of tokenised documents into sequences.
+
+Pieces are packed by bands of length, from the longest down: (1024, 2048], (682, 1024], (512, 682]
+and so on. The longest band opens a sequence for each piece. In every other band, rounds of four
+steps follow until its pieces are placed:
+
+1. gaps that can hold a piece of the band are offered as slots as long as the band's longest piece
+   (the last one takes what is left over), so that a wide gap takes several pieces in one round;
+2. pieces and slots are sorted together by size, dealt out by ranges;
+3. a sweep downwards chooses the pieces that find a slot, the longest first; a sweep upwards finds
+   each one's successor, the smallest slot that holds it. Of several with one successor the first
+   by rank gets it and the others go on to the next slots, so the j-th chosen piece, of successor
+   s_j, gets slot j + max(s_i - i for i <= j). Counts and that maximum are carried over ranges;
+4. the gaps shrink, and pieces without a slot stay for the next round.
+
+Where the gaps left take fewer than an eighth of a band's remaining pieces, as few sequences are
+opened as these could fill.
+
+A band whose pieces and gaps are no more than one range, RANGE_ROWS, goes through the same rounds
+in one task.
+
+Scale: texts are read once and not shuffled; a round shuffles sizes and numbers of one band's
+pieces and of the gaps that it can use. A slot holds a piece of about half its size or more, so each
+round at least halves what a gap still offers to its band: the rounds are a few for each of some
+16 bands, whatever the number of documents. The driver sees a row per band or range.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release, shuffle_partitions
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
+#: Rows of a range that is swept in one task, about.
+RANGE_ROWS = 250_000
 #: Bytes of text that a task encodes at a time; a longer text alone.
 RUN_BYTES = 4 << 20
 
@@ -145,20 +160,20 @@ def tokenizer_path(path: str | None) -> str:
 
 
 def tokenize_pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, part, local (rank in part and length), ids if asked.
+    """One row per piece: id, piece, start, length, ids_crc32, pid (a number of its own), ids if asked.
 
     A document's ids are the tokenizer's and then end_id; only documents of more than `capacity`
     ids are cut. Null text counts as empty and gives one piece that holds end_id.
     """
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, local long" + ", ids array<int>" * keep_ids
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, pid long" + ", ids array<int>" * keep_ids
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
+        next_pid = TaskContext.get().partitionId() << 40
         of = text_ids(tokenizer_path(path))
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
@@ -176,99 +191,237 @@ def tokenize_pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 length = np.minimum(n[owner] + 1 - start, capacity)
                 first = at[owner] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist())]
-                local = []
-                for k in length.tolist():
-                    local.append(seen[k])
-                    seen[k] += 1
-                arrays = [batch.column(0).take(pa.array(row + owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), part), pa.int32()), pa.array(local, pa.int64())]
+                pid = next_pid + np.arange(len(owner))
+                next_pid += len(owner)
+                arrays = [batch.column(0).take(pa.array(row + owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(pid, pa.int64())]
                 if keep_ids:
                     arrays.append(pa.array([ids[a : a + k].astype("<i4") for a, k in zip(first.tolist(), length.tolist())], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32", "part", "local", "ids"][: len(arrays)])
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32", "pid", "ids"][: len(arrays)])
                 row = to
 
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, schema)
 
 
-def plan_best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, pieces each, offset), sorted; ranks run on until the next row.
+def _parts(rows: int, spark) -> int:
+    return max(1, min(shuffle_partitions(spark), -(-rows // RANGE_ROWS)))
+
+
+def _slots(gaps: DataFrame, longest: int, least: int) -> DataFrame:
+    """seq, slot and size of the places that gaps of `least` or more offer to pieces of up to `longest`."""
+    n = F.greatest(F.floor(F.col("gap") / longest), F.lit(1)).cast("int")
+    each = gaps.where(F.col("gap") >= least).select("seq", "gap", n.alias("n"), F.posexplode(F.array_repeat(F.lit(0), n)).alias("slot", "_"))
+    return each.select("seq", "slot", F.when(F.col("slot") < F.col("n") - 1, F.lit(longest)).otherwise(F.col("gap") - longest * (F.col("n") - 1)).cast("long").alias("size"))
+
 
-    Best fit with longest pieces first: a piece goes to the smallest gap that holds it, so a
-    sequence of gap g takes g // length pieces of one length, and new sequences are opened last.
+_FAR = 1 << 62
+
+
+def _sweep(kind: np.ndarray, below: tuple[int, int, int], above: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int], tuple[int, int]]:
+    """One range's rows in ascending order (kind 0 a piece, 1 a slot), with what is carried in from below and from above it.
+
+    From above come the slots without a piece yet and, of the range's own, those that remain: going
+    down, a piece is chosen where a slot is left, so that the longest pieces go first. Going up, a
+    chosen piece gets the slot of its successor or the next one that is free. Gives which pieces
+    are chosen, the numbers of slots and of chosen pieces' slots, and what is carried on.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap: intervals of sequences
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        if not left:
+    free = above[0]
+    step = np.where(kind == 1, 1, -1)[::-1]
+    run = free + np.cumsum(step)
+    low = np.minimum(np.minimum.accumulate(run), 0)
+    # a piece that takes the free slots below any earlier low finds none
+    before = np.concatenate([[0], low[:-1]])
+    chosen = ((step == -1) & (run >= before))[::-1]
+    free = int(run[-1] - low[-1]) if len(run) else free
+    slots, pieces, most = below
+    s, j = slots + np.cumsum(kind) - kind, pieces + np.cumsum(chosen) - chosen
+    top = np.maximum.accumulate(np.concatenate([[most], np.where(chosen, s - j, -_FAR)]))
+    at = np.where(kind == 1, s, j + top[1:])
+    return chosen, at, (slots + int(kind.sum()), pieces + int(chosen.sum()), int(top[-1])), (free,)
+
+
+def match(pieces: DataFrame, slots: DataFrame, parts: int) -> DataFrame:
+    """pid, length, seq, slot of the pieces (pid, length) that get one of the slots (seq, slot, size), by successor sweeps over ranges of the size."""
+    no = F.lit(None).cast("long")
+    every = pieces.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("pid").alias("id"), no.alias("slot")).unionByName(
+        slots.select("size", F.lit(1).alias("kind"), F.col("seq").alias("id"), F.col("slot").cast("long").alias("slot"))
+    )
+    order = ["size", "kind", "id", "slot"]
+    ranges = cut(every.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+
+    def whole(batches):
+        """A range's rows, some RANGE_ROWS."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        return TaskContext.get().partitionId(), table, table.column("kind").to_numpy().astype(np.int64) if held else np.empty(0, np.int64)
+
+    def ask(sums, names: str) -> list:
+        return sorted(ranges.mapInArrow(sums, ", ".join(f"{n} long" for n in names.split())).collect())  # a row per range
+
+    def row(*values):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], names=[f"c{i}" for i in range(len(values))])
+
+    def free(batches):
+        """How many slots a range leaves over for the pieces below it, by how many it is given: max(given + change, lowest)."""
+        part, _, kind = whole(batches)
+        run = np.cumsum(np.where(kind == 1, 1, -1)[::-1])
+        yield row(part, int(run[-1]) if len(run) else 0, int((run[-1] - np.minimum.accumulate(run)[-1])) if len(run) else 0)
+
+    above, given = {}, 0
+    for part, change, lowest in reversed(ask(free, "c0 c1 c2")):
+        above[part] = (given,)
+        given = max(given + change, lowest)
+
+    def sums(batches):
+        part, _, kind = whole(batches)
+        _, _, (s, j, most), _ = _sweep(kind, (0, 0, -_FAR), above[part])
+        yield row(part, s, j, most)
+
+    below, state = {}, (0, 0, -_FAR)
+    for part, s, j, most in ask(sums, "c0 c1 c2 c3"):
+        below[part] = state
+        state = (state[0] + s, state[1] + j, max(state[2], most + state[0] - state[1] if most > -_FAR else -_FAR))
+
+    def places(batches):
+        import pyarrow as pa
+
+        part, table, kind = whole(batches)
+        chosen, at, _, _ = _sweep(kind, below[part], above[part])
+        if table is not None:
+            yield from table.append_column("at", pa.array(at, pa.int64())).filter(pa.array((kind == 1) | chosen)).to_batches()
+
+    placed = ranges.mapInArrow(places, "size long, kind int, id long, slot long, at long")
+    own = placed.where("kind = 0").select("at", F.col("id").alias("pid"), F.col("size").alias("length"))
+    out = cut(own.join(placed.where("kind = 1").select("at", F.col("id").alias("seq"), "slot"), "at").drop("at"))
+    release(ranges)
+    return out
+
+
+def bands_of(capacity: int) -> list[int]:
+    """The longest lengths of the bands, falling: capacity, its halves, and between them what fits three times."""
+    halves = [capacity]
+    while halves[-1] > 1:
+        halves.append(halves[-1] // 2)
+    thirds = [h // 3 for h in halves if h // 3 >= 64]
+    return sorted({*halves, *thirds}, reverse=True)
+
+
+def _band_alone(pid: np.ndarray, length: np.ndarray, seq: np.ndarray, gap: np.ndarray, longest: int, least: int, capacity: int, opened: int):
+    """A band's rounds where all its rows are one range: pid, seq, offset of its pieces; seq, gap left; sequences opened."""
+    placed, stuck = [], False
+    while len(pid):
+        usable = np.flatnonzero(gap >= least)
+        if stuck or not len(usable):
+            new = -(-int(length.sum()) // capacity)
+            seq, gap = np.concatenate([seq, -(opened + 1 + np.arange(new))]), np.concatenate([gap, np.full(new, capacity)])
+            opened, stuck = opened + new, False
             continue
-        sweep = sorted(g for g in gaps if g >= length and gaps[g])
-        changed: list[tuple[int, int, int]] = []
-
-        def fill(first: int, n: int, gap: int) -> None:
-            """The next pieces go into n sequences of that gap."""
-            nonlocal left, rank
-            each = gap // length
-            full, over = divmod(left, each)
-            plan.append((length, rank, first, each, capacity - gap))
-            if full >= n:
-                changed.append((gap - each * length, first, n))
-                took = n * each
-            else:
-                if full:
-                    changed.append((gap - each * length, first, full))
-                if over:
-                    changed.append((gap - over * length, first + full, 1))
-                if n > full + bool(over):
-                    changed.append((gap, first + full + bool(over), n - full - bool(over)))
-                took = left
-            left, rank = left - took, rank + took
-
-        for gap in sweep:
-            while left and gaps[gap]:
-                fill(*gaps[gap].pop(), gap)
-            if not left:
-                break
-        if left:
-            n = -(-left // (capacity // length))
-            first, opened = opened, opened + n
-            fill(first, n, capacity)
-        for gap, first, n in changed:
-            if gap:
-                gaps[gap].append((first, n))
-    return np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
+        n = np.maximum(gap[usable] // longest, 1)
+        of = np.repeat(usable, n)
+        slot = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        size = np.where(slot < np.repeat(n, n) - 1, longest, gap[of] - longest * (np.repeat(n, n) - 1))
+        kind = np.concatenate([np.zeros(len(pid), np.int64), np.ones(len(of), np.int64)])
+        number = np.concatenate([pid, seq[of]])
+        order = np.lexsort((np.concatenate([np.zeros(len(pid), np.int64), slot]), number, kind, np.concatenate([length, size])))
+        chosen, at, _, _ = _sweep(kind[order], (0, 0, -_FAR), (0,))
+        own, to = order[chosen], order[kind[order] == 1][at[chosen]] - len(pid)
+        line = np.lexsort((slot[to], of[to]))
+        own, to = own[line], of[to[line]]
+        run = np.cumsum(length[own])
+        first = np.searchsorted(to, to)
+        before = run - length[own] - (run - length[own])[first]
+        placed.append((pid[own], seq[to], capacity - gap[to] + before))
+        gap = gap - np.bincount(to, weights=length[own], minlength=len(gap)).astype(np.int64)
+        stuck = len(own) < len(pid) / 8
+        left = np.ones(len(pid), bool)
+        left[own] = False
+        pid, length = pid[left], length[left]
+    keep = gap > 0
+    return [np.concatenate(x) for x in zip(*placed)] if placed else [np.empty(0, np.int64)] * 3, seq[keep], gap[keep], opened
+
+
+def _one_range(rest: DataFrame, gaps: DataFrame, longest: int, least: int, capacity: int, opened: int) -> DataFrame:
+    """kind, a, b, c: pid, seq, offset (kind 0); seq, gap (kind 1); sequences opened (kind 2)."""
+    rows = rest.select(F.lit(0).alias("kind"), "pid", "length").unionByName(gaps.select(F.lit(1).alias("kind"), F.col("seq").alias("pid"), F.col("gap").alias("length")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        columns = list(zip(*[[c.to_numpy().astype(np.int64) for c in batch.columns] for batch in batches]))
+        kind, number, size = (np.concatenate(c) for c in columns) if columns else [np.empty(0, np.int64)] * 3
+        own = kind == 0
+        (pid, to, offset), seq, gap, new = _band_alone(number[own], size[own], number[~own], size[~own], longest, least, capacity, opened)
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(pid), len(seq), 1])
+        a, b = np.concatenate([pid, seq, [new]]), np.concatenate([to, gap, [0]])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kinds, a, b, np.concatenate([offset, np.zeros(len(seq) + 1, np.int64)]))], names=["kind", "a", "b", "c"])
+
+    return cut(rows.coalesce(1).mapInArrow(run, "kind int, a long, b long, c long"))
+
+
+def place_best_fit(pieces: DataFrame, capacity: int) -> list[DataFrame]:
+    """Frames (pid, seq, offset) that together place every piece (pid, length) in a sequence."""
+    spark = pieces.sparkSession
+    bands = bands_of(capacity)  # a band is known by its longest length
+    band = F.lit(bands[-1])
+    for longest, shorter in reversed(list(zip(bands, bands[1:]))):
+        band = F.when(F.col("length") > shorter, F.lit(longest)).otherwise(band)
+    pieces = cut(pieces.select("pid", F.col("length").cast("long").alias("length"), band.alias("band")))
+    held = {r["band"]: (r["n"], r["total"]) for r in pieces.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).collect()}
+    first = pieces.where(F.col("band") == capacity)
+    placed = [first.select("pid", F.col("pid").alias("seq"), F.lit(0).cast("long").alias("offset"))]
+    gaps, opened = cut(first.where(F.col("length") < capacity).select(F.col("pid").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap"))), 0
+    open_ = gaps.count()
+    for longest, shorter in zip(bands[1:], [*bands[2:], 0]):
+        n, total = held.get(longest, (0, 0))
+        if not n:
+            continue
+        rest = pieces.where(F.col("band") == longest).select("pid", "length")
+        if n + open_ <= RANGE_ROWS:
+            out = _one_range(rest, gaps, longest, shorter + 1, capacity, opened)
+            placed.append(out.where("kind = 0").select(F.col("a").alias("pid"), F.col("b").alias("seq"), F.col("c").alias("offset")))
+            gaps = out.where("kind = 1").select(F.col("a").alias("seq"), F.col("b").alias("gap"))
+            opened, open_ = out.agg(F.max(F.when(F.col("kind") == 2, F.col("a"))), F.count_if(F.col("kind") == 1)).first()
+            continue
+        stuck = False
+        while n:
+            slots = _slots(gaps, longest, shorter + 1)
+            k = slots.count()
+            if stuck or not k:  # as few as could hold what is left
+                new = -(-total // capacity)
+                fresh = spark.range(opened + 1, opened + new + 1).select((-F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+                gaps, opened = cut(gaps.unionByName(fresh)), opened + new
+                stuck = False
+                continue
+            found = match(rest, slots, _parts(n + k, spark))
+            taken = found.groupBy("seq").agg(F.sum("length").alias("taken"))
+            before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # one sequence's pieces
+            offset = F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))
+            placed.append(cut(found.join(gaps, "seq").select("pid", "seq", offset.alias("offset"))))
+            left = gaps.join(taken, "seq", "left").select("seq", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
+            gaps = cut(left.where("gap > 0"))
+            done = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+            stuck = done[0] < n / 8  # what gaps are left hold few of these pieces
+            n, total = n - done[0], total - done[1]
+            if n:
+                rest = cut(rest.join(found.select("pid"), "pid", "left_anti"))
+            release(found)
+        open_ = gaps.count()
+    return placed
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces, as tokenize_pieces gives them, with sequence_id and offset; materialises them first."""
-    spark = pieces.sparkSession
     pieces = cut(pieces)
-    counts = cut(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
-    lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    plan = plan_best_fit(lengths, capacity)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # rows of the plan: a few for each length and gap, so their number is bounded by the capacity
-    shared = spark.sparkContext.broadcast(plan)
-    fields = [f for f in pieces.schema.fields if f.name not in ("part", "local")]
-    kept = [f.name for f in fields]
-    ranked = pieces.join(cut(base), ["part", "length"]).select(*kept, (F.col("base") + F.col("local")).alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
-
-    def place(batches):
-        import pyarrow as pa
-
-        rows = shared.value
-        key = (rows[:, 0] << 44) + rows[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "rank"))
-            found = rows[np.searchsorted(key, (length << 44) + rank, side="right") - 1] if len(rank) else np.empty((0, 5), np.int64)
-            nth = rank - found[:, 1]
-            sequence, offset = found[:, 2] + nth // np.maximum(found[:, 3], 1), found[:, 4] + nth % np.maximum(found[:, 3], 1) * length
-            names = [n for n in batch.schema.names if n != "rank"]
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, schema)
+    placed = place_best_fit(pieces.select("pid", "length"), capacity)
+    every = placed[0]
+    for p in placed[1:]:
+        every = every.unionByName(p)
+    kept = [c for c in pieces.columns if c != "pid"]
+    return pieces.join(every, "pid").select(*kept, F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from quern.llm.html_extract import Labeller, extract_main, made_pages, parse
 from quern.llm.lm_score import score_documents
 from quern.llm.mixing import mix_sources
 from quern.llm.near_dedup import near_dedup
-from quern.llm.packing import TextIds, pack_documents, plan_best_fit, tokenizer_path
+from quern.llm.packing import TextIds, pack_documents, tokenizer_path
 from quern.llm.toxicity import score_toxicity
 
 DOC = "doc_id long, text string, source string, _row string, id string, size string, node string, name string"
@@ -140,30 +140,6 @@ def test_packing(spark):
     assert pack_documents(docs(spark, [])).count() == 0
 
 
-def test_best_fit_plan_equals_plain_best_fit():
-    rng = np.random.default_rng(3)
-    for _ in range(30):
-        lengths = rng.integers(1, 33, rng.integers(1, 200)).tolist()
-        gaps = []
-        for n in sorted(lengths, reverse=True):
-            fits = [g for g in range(len(gaps)) if gaps[g] >= n]
-            if fits:
-                gaps[min(fits, key=lambda g: gaps[g])] -= n
-            else:
-                gaps.append(32 - n)
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        plan, used = plan_best_fit(counts, 32), {}
-        for n, count in counts.items():
-            own = plan[plan[:, 0] == n]
-            for rank in range(count):
-                row = own[np.searchsorted(own[:, 1], rank, side="right") - 1]
-                nth = rank - row[1]
-                used.setdefault(row[2] + nth // row[3], []).append((row[4] + nth % row[3] * n, n))
-        assert len(used) == len(gaps)
-        for places in used.values():
-            assert [a for a, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))]
-
-
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     plain, bad = [f"w{i}" for i in range(200)], ["vile", "rotten", "foul"]
