@@ -42,7 +42,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Rows of a range that is swept in one task, about.
 RANGE_ROWS = 250_000
 #: Bytes of text that a task encodes at a time; a longer text alone.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 
 #: The steps before the model for which splitting at white space and at a word's last comma or full stop is proven neutral (tests/llm/test_token_ids.py).
 KNOWN_STEPS = {
@@ -102,7 +102,7 @@ class TextIds:
     tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, room: int = 400_000, at_once: int = 20_000):
+    def __init__(self, path: str, room: int = 200_000, at_once: int = 20_000):
         import json
         import os
 
