@@ -39,6 +39,8 @@ PREFIX = 4
 PAIR_DISCOUNT, WORD_DISCOUNT = (1, 2, 3), (1.0, 1.2, 1.5)
 #: Of a start's words in a class, and of the number of classes that have it.
 START_DISCOUNT, SHARED_DISCOUNT = 0.75, 0.5
+#: Bytes of text that a task looks at at a time; a longer text alone.
+RUN_BYTES = 1 << 20
 #: Bytes between words: white space and ASCII symbols.
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[[*SPACES, *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -57,7 +59,7 @@ class Pairs:
 
 
 def pairs_of(column):
-    return (Pairs(*run) for run in document_words(column, space=_GAPS, prefix=PREFIX))
+    return (Pairs(*run) for run in document_words(column, limit=RUN_BYTES, space=_GAPS, prefix=PREFIX))
 
 
 def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -255,7 +257,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
     names = list(dict.fromkeys([id_col, *keep]))
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", held_out boolean, score double, predicted int"
-    rows = docs.select(*[F.col(n) for n in names], (fold(F.col(id_col), folds) == 0).alias("held_out"), whole.cast("binary").alias("_whole"))
+    at = names.index(text) if text in names else len(names) + 1  # a text that is kept isn't sent twice
+    rows = docs.select(*[F.col(n) for n in names], (fold(F.col(id_col), folds) == 0).alias("held_out"), *([] if text in names else [F.col(text).alias("_whole")]))
 
     def run(batches):
         import pyarrow as pa
@@ -264,7 +267,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
         for batch in batches:
             score = np.full(batch.num_rows, own.prior)
             if own.ratios is not None:
-                for row, x in own.ratios.features(batch.column(len(names) + 1)):
+                for row, x in own.ratios.features(batch.column(at)):
                     score[row : row + len(x)] = own.score(x)
             arrays = [batch.column(i) for i in range(len(names) + 1)] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "held_out", "score", "predicted"])
