@@ -108,6 +108,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lowest(h: Column, rows: int, wanted: int) -> Column:
+    """Whether a 64-bit hash is among the lowest, so that some four times `wanted` of `rows` are: a top-n of these sends little to the driver."""
+    if rows <= 4 * wanted:
+        return F.lit(True)
+    return h <= F.lit(-(1 << 63) + (4 * wanted << 64) // rows)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words
+from .common import hash_words, lowest
 
 #: What the labeller is fitted on: at most so many pages of the table, of at most so many bytes and blocks each, and so many made pages.
 SAMPLE, SAMPLE_BYTES, SAMPLE_BLOCKS, MADE = 200, 100_000, 400, 500
@@ -445,7 +445,9 @@ def extract_main(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (
     as far as it goes: a tag without an end, an unclosed element or a stray end tag loses no text.
     """
     spark = pages.sparkSession
-    chosen = pages.where(F.octet_length(html) <= SAMPLE_BYTES).select(F.xxhash64(F.col(order)).alias("h"), F.col(html).alias("html")).orderBy("h", F.xxhash64("html")).limit(sample)
+    h = F.xxhash64(F.col(order))
+    some = pages.where(lowest(h, pages.count(), sample) & (F.octet_length(html) <= SAMPLE_BYTES))
+    chosen = some.select(h.alias("h"), F.xxhash64(html).alias("g"), F.col(html).alias("html")).dropDuplicates(["h", "g"]).orderBy("h", "g").limit(sample)
     labeller = train_labeller([r["html"] for r in chosen.collect()])  # at most `sample` pages of SAMPLE_BYTES
     shared = spark.sparkContext.broadcast(labeller)
     kinds = dict(pages.dtypes)
