@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, document_words, mix, release
+from .common import SPACES, cut, document_words, lowest, mix, release
 from .lm_score import END, fold
 
 #: Labelled rows of each class that the models are fitted on, at most, and the longest text among them.
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: Column, id_col: str, label: st
     shares = dict(known.groupBy("y").agg(F.count(F.lit(1))).collect())
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.0
-    few = [known.where(F.col("y") == y).orderBy("h", "id").limit(sample).select("id", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(4)) == 0).alias("apart")) for y in (0, 1)]
+    few = [known.where((F.col("y") == y) & lowest(F.col("h"), shares.get(y, 0), sample)).orderBy("h", "id").limit(sample).select("id", "y", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(4)) == 0).alias("apart")) for y in (0, 1)]
     chosen = few[0].unionByName(few[1])  # at most 2 * sample ids
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "id").select("text", "y", "apart")
     ratios = count_pairs(rows.where("not apart")) if len(shares) == 2 else None
