@@ -128,21 +128,20 @@ def _filters(classes: DataFrame, words: int) -> DataFrame:
     return classes.select("node", "vec").mapInArrow(run, "node binary, fids array<long>")
 
 
-def _first_shared(lists: list[np.ndarray], fid: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of pairs of members of a group: whether fid is the smallest filter that both have."""
-    earlier = [f[f < fid] for f in lists]
-    known = np.unique(np.concatenate(earlier)) if earlier else np.empty(0, np.int64)
+def _first_shared(earlier: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of members of a group, given each one's smaller filters: whether the group's is the smallest that both have."""
+    known = np.unique(np.concatenate(earlier))
     if not len(known):
         return np.ones(len(i), bool)
-    has = np.zeros((len(lists), len(known)), np.float32)
+    has = np.zeros((len(earlier), len(known)), np.float32)
     for row, f in enumerate(earlier):
         has[row, np.searchsorted(known, f)] = 1
-    if len(i) > 4 * len(lists):
+    if len(i) > 4 * len(earlier):
         return (has @ has.T)[i, j] == 0
     return np.einsum("pk,pk->p", has[i], has[j]) == 0
 
 
-def _links(members: list, fid: int, split: bool, least: float):
+def _links(members: list, split: bool, least: float):
     """Links within a group, or between its two sides: (degrees by member, edges that connect what is linked)."""
     x = np.array([m[1] for m in members])
     near = x @ x.T >= least
@@ -153,7 +152,7 @@ def _links(members: list, fid: int, split: bool, least: float):
     i, j = np.nonzero(np.triu(near))
     if not len(i):
         return None
-    own = _first_shared([m[3] for m in members], fid, i, j)
+    own = _first_shared([m[3] for m in members], i, j)
     weight = np.array([m[2] for m in members], dtype=np.int64)
     degree = np.zeros(len(members), np.int64)
     np.add.at(degree, i[own], weight[j[own]])
@@ -195,7 +194,7 @@ def _promising(units, starts: np.ndarray, ends: np.ndarray, least: float, most:
 
 
 def _link_groups(rows: DataFrame, least: float) -> DataFrame:
-    """a, b, degree: link counts have b null, edges have degree 0. rows: fid, lo, hi, node, vec, w, fids, chunk."""
+    """a, b, degree: link counts have b null, edges have degree 0. rows: fid, lo, hi, node, vec, w, fids (the node's shared filters smaller than fid, within its dimension), chunk."""
     ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "fid", "lo", "hi").sortWithinPartitions("fid", "lo", "hi", "node")
 
     def run(batches):
@@ -204,7 +203,7 @@ def _link_groups(rows: DataFrame, least: float) -> DataFrame:
         out: list[list] = [[], [], []]
 
         def finish(key, members):
-            if len(members) > 1 and (found := _links(members, key[0], key[1] != key[2], least)) is not None:
+            if len(members) > 1 and (found := _links(members, key[1] != key[2], least)) is not None:
                 degree, label = found
                 for k in np.flatnonzero(degree).tolist():
                     out[0].append(members[k][0])
@@ -264,7 +263,11 @@ def embedding_dedup(vectors: DataFrame, embedding: str = "embedding", id_col: st
     shared = single.groupBy("fid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("fid", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
     lists = single.join(cut(shared), "fid").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("fid", "chunks"))).alias("own"))  # one vector's filters
     member = cut(lists.join(classes.select("node", "vec", "w"), "node"))
-    dealt = member.select("node", "vec", "w", F.col("own.fid").alias("fids"), F.explode("own").alias("f")).select("node", "vec", "w", "fids", "f.fid", "f.chunks")
+    # a membership carries the smaller filters only, numbered within the dimension: TABLES * LARGEST ** BLOCKS numbers fit 31 bits
+    base = F.size("vec").cast("long") * F.lit(TABLES * words**BLOCKS)
+    within = F.transform("own.fid", lambda f: (f - base).cast("int"))
+    dealt = member.select("node", "vec", "w", within.alias("fids"), F.posexplode("own").alias("pos", "f"))
+    dealt = dealt.select("node", "vec", "w", F.slice("fids", F.lit(1), F.col("pos")).alias("fids"), "f.fid", "f.chunks")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("fid", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "vec", "w", "fids", "chunk")
