@@ -10,7 +10,8 @@ the first word. Three shuffles of sorted blobs count the corpus:
 3. words again: distinct followers by count and distinct predecessors, added up by hash range.
 
 Workers memory-map the sorted arrays and score whole texts by binary searches of sorted keys,
-so a worker's memory doesn't grow with the model and its pages are shared on a machine.
+so a worker's memory doesn't grow with the model and its pages are shared on a machine. Ranges are
+merged a part of their keys at a time, and workers give back what they free.
 
 Scale: no row per token leaves a task. Ranges hold a fixed amount of text, whatever the input.
 The driver sees one row per range and the words that fill a large part of one.
@@ -22,12 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_words, map_array, new_dir, put_array, remove_dir
+from .common import cut, document_words, map_array, new_dir, put_array, remove_dir, tidy, tidy_group
 
 #: UTF-8 bytes of text for each range of words or pairs.
 RANGE_BYTES = 32 << 20
 #: Tokens that a task gathers before it sorts and sends them.
-GATHER = 4_000_000
+GATHER = 2_000_000
+#: Keys that are merged at a time.
+MERGE = 500_000
+#: Bytes of text that a task looks at at a time, and that Spark sends it.
+RUN_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 #: The hash of the end token.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -63,9 +68,32 @@ def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values, first, axis=0)
 
 
+def count_distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their counts; sorts keys itself."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype("u4")
+
+
+def merge_parts(parts: list[tuple[np.ndarray, np.ndarray]]):
+    """For ranges of about MERGE keys, in order: distinct keys and the sums of their values, int64. parts: each sorted by distinct keys.
+
+    So what merging takes beside the parts doesn't grow with them.
+    """
+    n = sum(len(keys) for keys, _ in parts)
+    seen = np.sort(np.concatenate([keys[::256] for keys, _ in parts]))
+    bounds = np.unique(seen[np.arange(1, -(-n // MERGE)) * len(seen) // -(-n // MERGE)])
+    cuts = [np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]) for keys, _ in parts]
+    for i in range(len(bounds) + 1):
+        own = [(keys[c[i] : c[i + 1]], values[c[i] : c[i + 1]]) for c, (keys, values) in zip(cuts, parts)]
+        keys, values = _sum_by(np.concatenate([k for k, _ in own]), np.concatenate([v for _, v in own]).astype(np.int64))
+        if len(keys):
+            yield keys, values
+
+
 def token_runs(column):
     """For runs of rows: first row, tokens (the end, words, the end, words, .., the end), places of the rows' first ends."""
-    for row, hashes, at in document_words(column):
+    for row, hashes, at in document_words(column, limit=RUN_BYTES):
         ends = at + np.arange(len(at))
         tokens = np.empty(ends[-1] + 1, np.uint64)
         is_end = np.zeros(len(tokens), bool)
@@ -172,17 +200,19 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
 
     def gathered(batches, keys_of):
         """Distinct keys and counts of about GATHER tokens at a time."""
-        held, n_held = [], 0
+        held, n = np.empty(GATHER, np.uint64), 0
         for batch in batches:
             for run in token_runs(batch.column(0)):
                 keys = keys_of(*run)
-                held.append(keys)
-                n_held += len(keys)
-                if n_held >= GATHER:
-                    yield np.unique(np.concatenate(held), return_counts=True)
-                    held, n_held = [], 0
-        if n_held:
-            yield np.unique(np.concatenate(held), return_counts=True)
+                while len(keys):
+                    own, keys = keys[: GATHER - n], keys[GATHER - n :]
+                    held[n : n + len(own)] = own
+                    n += len(own)
+                    if n == GATHER:
+                        yield count_distinct(held)
+                        n = 0
+        if n:
+            yield count_distinct(held[:n])
 
     def count_words(batches):
         import pyarrow as pa
@@ -195,17 +225,17 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
         import pandas as pd
 
         k = int(pdf["range"].iloc[0])
-        steps = [np.cumsum(_unzip(x, "u8"), dtype=np.uint64) + word_bounds[k] for x in pdf["keys"]]
-        keys, counts = _sum_by(np.concatenate(steps), np.concatenate([_unzip(x, "u4") for x in pdf["counts"]]).astype(np.int64))
+        parts = [(np.cumsum(_unzip(x, "u8"), dtype=np.uint64) + word_bounds[k], _unzip(c, "u4")) for x, c in zip(pdf["keys"], pdf["counts"])]
+        keys, counts = (np.concatenate(x) for x in zip(*merge_parts(parts)))
         put_array(f"{folder}/word-{k}", keys)
         put_array(f"{folder}/count-{k}", counts)
         often = np.flatnonzero(counts > pdf["often"].iloc[0])
         return pd.DataFrame({"range": [k], "n": [len(keys)], "tokens": [int(counts.sum())], "places": [often], "counts": [counts[often]]})
 
-    words = rows.mapInArrow(count_words, "range int, keys binary, counts binary")
+    words = rows.mapInArrow(tidy(count_words), "range int, keys binary, counts binary")
     # words that fill over a quarter of an even range; an estimate of tokens from bytes suffices for that
     often = max(1, size // 7 // n // 4)
-    merged = cut(words.withColumn("often", F.lit(often).cast("long")).groupBy("range").applyInPandas(merge_words, "range int, n long, tokens long, places array<long>, counts array<long>"))
+    merged = cut(words.withColumn("often", F.lit(often).cast("long")).groupBy("range").applyInPandas(tidy_group(merge_words), "range int, n long, tokens long, places array<long>, counts array<long>"), BATCH_BYTES)
     found = {r["range"]: r for r in merged.collect()}  # a row per range; frequent words are few by definition
     for k in set(range(n)) - set(found):
         for name, dtype in (("word", "u8"), ("count", "i8"), ("pred", "i8"), ("gamma", "f4")):
@@ -244,29 +274,37 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
 
         k = int(pdf["range"].iloc[0])
         parts = []
-        for first, high, low in zip(pdf["first"], pdf["high"], pdf["low"]):
-            parts.append(((np.cumsum(_unzip(high, "u4"), dtype=np.uint64) + np.uint64(first)) << np.uint64(32)) | _unzip(low, "u4").astype(np.uint64))
-        keys, counts = _sum_by(np.concatenate(parts), np.concatenate([_unzip(x, "u4") for x in pdf["counts"]]).astype(np.int64))
-        put_array(f"{folder}/pair-{k}", keys)
-        put_array(f"{folder}/seen-{k}", counts.astype("f4"))
-        high, low = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        followers = np.stack([counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
-        v, sums = _sum_by(high, followers)
-        w, preds = _sum_by(low, np.ones(len(low), np.int64))
-        out = []
-        for ids, values in ((v, sums), (w, preds.reshape(-1, 1))):
+        for first, high, low, c in zip(pdf["first"], pdf["high"], pdf["low"], pdf["counts"]):
+            parts.append((((np.cumsum(_unzip(high, "u4"), dtype=np.uint64) + np.uint64(first)) << np.uint64(32)) | _unzip(low, "u4").astype(np.uint64), _unzip(c, "u4")))
+        out, pair, seen, next_id, often = [], [], [], [], np.zeros(6, np.int64)
+
+        def send(ids, values):
+            """Values of words, ids sorted, by the words' ranges."""
             cuts = np.searchsorted(ids, word_base)
             for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 own = slice(cuts[b], cuts[b + 1])
                 out.append((b, values.shape[1], *_zip((ids[own] - word_base[b]).astype("u4"), values[own].astype("u4").reshape(-1))))
-        often = np.bincount(np.minimum(counts, 5), minlength=6)
+
+        for keys, counts in merge_parts(parts):
+            pair.append(keys)
+            seen.append(counts.astype("f4"))
+            next_id.append(keys.astype("u4"))
+            often += np.bincount(np.minimum(counts, 5), minlength=6)
+            send(*_sum_by((keys >> np.uint64(32)).astype(np.int64), np.stack([counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)))
+        parts.clear()
+        put_array(f"{folder}/pair-{k}", np.concatenate(pair))
+        pair.clear()
+        put_array(f"{folder}/seen-{k}", np.concatenate(seen))
+        seen.clear()
+        ids, predecessors = count_distinct(np.concatenate(next_id))
+        send(ids.astype(np.int64), predecessors.reshape(-1, 1))
         frame = pd.DataFrame(out, columns=["range", "kind", "ids", "values"])
         frame["own"] = np.int32(k)
         frame["n"] = [often[1:5].tolist()] + [[0, 0, 0, 0]] * (len(frame) - 1)
         return frame
 
-    pairs = rows.mapInArrow(count_pairs, "range int, first long, high binary, low binary, counts binary")
-    stats = cut(pairs.groupBy("range").applyInPandas(merge_pairs, "range int, kind int, ids binary, values binary, own int, n array<long>"))
+    pairs = rows.mapInArrow(tidy(count_pairs), "range int, first long, high binary, low binary, counts binary")
+    stats = cut(pairs.groupBy("range").applyInPandas(tidy_group(merge_pairs), "range int, kind int, ids binary, values binary, own int, n array<long>"), BATCH_BYTES)
     n1to4 = stats.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(4)]).first()
     pair_d = _discounts(*n1to4)
     for k in set(range(len(pair_bounds))) - {r[0] for r in stats.select("own").distinct().collect()}:  # a row per range
@@ -277,7 +315,7 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
         import pandas as pd
 
         k = int(pdf["range"].iloc[0])
-        followers, pred = np.zeros((sizes[k], 3)), np.zeros(sizes[k], np.int64)
+        followers, pred = np.zeros((sizes[k], 3), "u4"), np.zeros(sizes[k], np.int64)
         for kind, ids, values in zip(pdf["kind"], pdf["ids"], pdf["values"]):
             if kind == 3:
                 followers[_unzip(ids, "u4")] += _unzip(values, "u4").reshape(-1, 3)
@@ -285,10 +323,10 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
                 pred[_unzip(ids, "u4")] += _unzip(values, "u4")
         count = map_array(f"{folder}/count-{k}", "i8")
         put_array(f"{folder}/pred-{k}", pred)
-        put_array(f"{folder}/gamma-{k}", (followers @ pair_d[1:] / np.maximum(count, 1)).astype("f4"))
+        put_array(f"{folder}/gamma-{k}", (sum(followers[:, i] * pair_d[i + 1] for i in range(3)) / np.maximum(count, 1)).astype("f4"))
         return pd.DataFrame({"n": [np.bincount(np.minimum(pred, 5), minlength=6)[1:6].tolist()], "sum": [int(pred.sum())]})
 
-    last = cut(stats.drop("n", "own").groupBy("range").applyInPandas(merge_stats, "n array<long>, sum long"))
+    last = cut(stats.drop("n", "own").groupBy("range").applyInPandas(tidy_group(merge_stats), "n array<long>, sum long"))
     *of, more, total = last.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(5)], F.coalesce(F.sum("sum"), F.lit(0))).first()
     word_d = _discounts(*of)
     rest = (word_d[1] * of[0] + word_d[2] * of[1] + word_d[3] * (of[2] + of[3] + more)) / total if total else 1.0
@@ -322,7 +360,7 @@ def score(docs: DataFrame, model: Model, text: Column, id_col: str = "doc_id", k
             arrays = [pa.array(x) for x in (n_tokens, n_known, np.full(n, m.tokens, np.int64), base, own)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(*names, text.cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, text.cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: int = 10) -> DataFrame:
@@ -333,6 +371,6 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_t"), (fold(F.col(id_col), folds) == 0).alias("held_out"))
     model = fit(rows, F.col("_t"), ~F.col("held_out"))
-    out = cut(score(rows, model, F.col("_t"), id_col, ["held_out"]))
+    out = cut(score(rows, model, F.col("_t"), id_col, ["held_out"]), BATCH_BYTES)
     remove_dir(docs.sparkSession, model.folder)
     return out
