@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_words, map_array, new_dir, put_array, remove_dir, tidy, tidy_group
+from .common import BATCH_BYTES, cut, document_words, map_array, new_dir, put_array, remove_dir, tidy, tidy_group
 
 #: UTF-8 bytes of text for each range of words or pairs.
 RANGE_BYTES = 32 << 20
@@ -31,8 +31,8 @@ RANGE_BYTES = 32 << 20
 GATHER = 2_000_000
 #: Keys that are merged at a time.
 MERGE = 500_000
-#: Bytes of text that a task looks at at a time, and that Spark sends it.
-RUN_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
+#: Bytes of text that a task looks at at a time.
+RUN_BYTES = 2 << 20
 #: The hash of the end token.
 END = np.uint64(0x5851F42D4C957F2D)
 

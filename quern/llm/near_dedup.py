@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, document_words, mix, release, shuffle_partitions
+from .common import BATCH_BYTES, cut, document_words, mix, release, shuffle_partitions, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -117,7 +117,7 @@ def _describe(docs: DataFrame, text: Column, id_col: str) -> DataFrame:
                 [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names=["id", "node", "n", "bands", "sketch"]
             )
 
-    return docs.select(F.col(id_col), text.cast("binary")).mapInArrow(run, f"id {kind}, node binary, n long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col), text.cast("binary")).mapInArrow(tidy(run), f"id {kind}, node binary, n long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, text: Column, id_col: str, asked: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _sets(docs: DataFrame, text: Column, id_col: str, asked: DataFrame) -> DataF
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    found = rows.mapInArrow(run, "node binary, set binary").join(asked.select("node"), "node", "left_semi")
+    found = rows.mapInArrow(tidy(run), "node binary, set binary").join(asked.select("node"), "node", "left_semi")
     return found.groupBy("node").agg(F.first("set").alias("set"))
 
 
@@ -165,7 +165,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _forest(left: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def _link_blocks(groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
             yield out(found)
         yield out(edges(members))
 
-    out = cut(ordered.select("bk", "lo", "hi", "node", "comp", "sketch", "set").mapInArrow(run, "a binary, b binary"))
+    out = cut(ordered.select("bk", "lo", "hi", "node", "comp", "sketch", "set").mapInArrow(tidy(run), "a binary, b binary"))
     release(sized, parts)
     return out
 
@@ -334,7 +334,7 @@ def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     groups = cut(band_groups(nodes))
     member = cut(nodes.select(F.explode("bands").alias("bk"), "node").join(groups, "bk"))
     sketches = cut(nodes.select("node", "n", "sketch", "id").join(member.select("node").distinct(), "node", "left_semi"))
-    sets = cut(sets_of(sketches.select("node", "id")))
+    sets = cut(sets_of(sketches.select("node", "id")), BATCH_BYTES)
     close = F.lit(largest_distance(percent / 100 - ESTIMATE_ROOM))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", perc
     Null ids are the largest: a component has a null id only if all its ids are null.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    described = cut(_describe(docs, whole, id_col))
+    described = cut(_describe(docs, whole, id_col), BATCH_BYTES)
     of_class = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "bands", "sketch")]
     nodes = cut(described.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), *of_class))
     comps = link_classes(nodes, lambda asked: _sets(docs, whole, id_col, asked), percent)

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, cut, release, shuffle_partitions
+from .common import BATCH_BYTES, batch_bytes, cut, release, shuffle_partitions, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -227,7 +227,7 @@ def tokenize_pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32", "pid", "ids"][: len(arrays)])
                 row = to
 
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def _parts(rows: int, spark) -> int:
@@ -443,7 +443,7 @@ def place_best_fit(pieces: DataFrame, capacity: int) -> list[DataFrame]:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces, as tokenize_pieces gives them, with sequence_id and offset; materialises them first."""
-    pieces = cut(pieces)
+    pieces = cut(pieces, BATCH_BYTES)
     placed = place_best_fit(pieces.select("pid", "length"), capacity)
     every = placed[0]
     for p in placed[1:]:

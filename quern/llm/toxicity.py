@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, document_words, lowest, mix, release
+from .common import SPACES, cut, document_words, lowest, mix, release, tidy
 from .lm_score import END, fold
 
 #: Labelled rows of each class that the models are fitted on, at most, and the longest text among them.
@@ -164,7 +164,7 @@ def count_pairs(rows: DataFrame) -> Ratios | None:
 
     lost = lambda c, d: F.when(F.col(c) >= 3, F.lit(float(d[2]))).when(F.col(c) == 2, F.lit(float(d[1]))).when(F.col(c) == 1, F.lit(float(d[0]))).otherwise(F.lit(0.0))
     has = lambda c: (F.col(c) > 0).cast("long")
-    counted = rows.select("text", "y").mapInArrow(count, "before long, word long, start long, n0 long, n1 long")
+    counted = rows.select("text", "y").mapInArrow(tidy(count), "before long, word long, start long, n0 long, n1 long")
     pairs = cut(counted.groupBy("before", "word").agg(F.min("start").alias("start"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     kept = cut(pairs.where(f"n0 > {PAIR_DISCOUNT[2]} or n1 > {PAIR_DISCOUNT[2]} or (n0 > 0 and n1 > 0)").select("before", "word", "n0", "n1"))
     contexts = pairs.join(kept.select("before").distinct(), "before", "left_semi").groupBy("before").agg(
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: Column, id_col: str, label: st
             for row, x in shared.value.features(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, len(x)), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    apart = rows.where("apart").select("text", "y").mapInArrow(describe, "y int, x array<double>").collect()  # bounded by the sample
+    apart = rows.where("apart").select("text", "y").mapInArrow(tidy(describe), "y int, x array<double>").collect()  # bounded by the sample
     y = np.array([r["y"] for r in apart], dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Scorer(None, np.zeros(0), prior)
@@ -272,4 +272,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
             arrays = [batch.column(i) for i in range(len(names) + 1)] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

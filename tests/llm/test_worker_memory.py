@@ -71,3 +71,29 @@ def test_arrays_are_mapped_where_the_folder_is_not_mounted(tmp_path, monkeypatch
         common.put_array(f"store:/{tmp_path}/a", np.arange(n, dtype="u8"))
         got = common.map_array(f"store:/{tmp_path}/a", "u8")
         assert (got == np.arange(n)).all() and (n == 0 or isinstance(got, np.memmap))
+
+
+def test_workers_of_the_pipeline_give_back_and_get_little_at_a_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quern.llm import near_dedup, packing, toxicity
+
+    docs = spark.createDataFrame([(i, "a b c " * 20_000) for i in range(20)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    run, names = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (names.append(f.__name__), run(self, f, *a, **k))[1])
+    toxicity.score_toxicity(docs, labels)
+    near_dedup._describe(docs, F.col("text"), "doc_id")
+    packing.tokenize_pieces(docs)
+    assert names == ["tidied"] * 3
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    got = [r["n"] for r in common.cut(docs.select("text").mapInArrow(sizes, "n long"), 1 << 19).collect()]
+    assert len(got) > 3 and max(got) < 1 << 20 and spark.conf.get(setting) == before
