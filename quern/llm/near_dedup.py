@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, cut, document_words, mix, release, shuffle_partitions, tidy
+from .common import BATCH_BYTES, cut, document_words, few_files, mix, release, shuffle_partitions, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, text: Column, id_col: str, asked: DataFrame) -> DataF
     words = asked.select(F.floor(place / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most MAP_BITS / 64 rows
     rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(cut(words)), F.floor(place / 64) == F.col("word"))
+    rows = rows.join(F.broadcast(cut(words, files=few_files(docs.sparkSession))), F.floor(place / 64) == F.col("word"))
     rows = rows.where(F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))) != 0).select("text")
 
     def run(batches):
@@ -191,7 +191,7 @@ def _forest(left: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp (the smallest node reachable) of every node that the edges (a, b) touch.
+    """node and comp (the smallest node reachable) of every node that the edges (a, b), which are read several times, touch.
 
     Each round points every node at the smallest of itself and its neighbours and contracts the
     edges along these pointers, until at most FEW are left, which one task finishes; then the
@@ -199,23 +199,24 @@ def components(edges: DataFrame) -> DataFrame:
     over, so with names that are digests the rounds are few. A hub's neighbours are combined
     before they are shuffled, and pointers and edges meet in joins that adaptive execution can split.
     """
-    left, rounds = cut(edges.select("a", "b").where("a <> b")), []
+    files = few_files(edges.sparkSession)
+    left, rounds, own = edges.select("a", "b").where("a <> b"), [], []
     while left.count() > FEW:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pointer = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")))
+        pointer = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), files=files)
         rounds.append(pointer)
         to = lambda k: pointer.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}"))
         moved = left.join(to("a"), "a").join(to("b"), "b").where("_a <> _b")
-        new = cut(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
-        release(left)
-        left = new
+        left = cut(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), files=files)
+        release(*own)
+        own = [left]
     rounds.append(_forest(left))
-    release(left)
+    release(*own)
     while len(rounds) > 1:
         last = rounds.pop()
         to = last.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         here = rounds.pop()
-        rounds.append(cut(here.join(to, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))))
+        rounds.append(cut(here.join(to, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), files=files))
         release(here, last)
     return rounds[0]
 
@@ -274,11 +275,12 @@ def _link_blocks(groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
     rest. Both sides are split into chunks of BLOCK sets, or BLOCK_SHINGLES shingles, and compared
     by pairs of chunks; what leaves such a pair is at most one edge for each member.
     """
-    sized = cut(groups.join(nodes.select("node", "n", "sketch"), "node"))
+    files = few_files(groups.sparkSession)
+    sized = cut(groups.join(nodes.select("node", "n", "sketch"), "node"), files=files)
     of_comp = sized.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     parts = of_comp.groupBy("bk").agg(F.max(F.struct("k", "n", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     chunks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    parts = cut(parts.select("bk", F.col("main.comp").alias("main"), chunks(F.col("main.k"), F.col("main.n")).alias("mains"), chunks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("rests")))
+    parts = cut(parts.select("bk", F.col("main.comp").alias("main"), chunks(F.col("main.k"), F.col("main.n")).alias("mains"), chunks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("rests")), files=files)
     dealt = sized.join(parts, "bk").withColumn("in_main", F.col("comp") == F.col("main"))
     # chunks of the rest are numbered from 0, those of the largest component from there on
     place = F.xxhash64("node")
@@ -313,7 +315,7 @@ def _link_blocks(groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
             yield out(found)
         yield out(edges(members))
 
-    out = cut(ordered.select("bk", "lo", "hi", "node", "comp", "sketch", "set").mapInArrow(tidy(run), "a binary, b binary"))
+    out = cut(ordered.select("bk", "lo", "hi", "node", "comp", "sketch", "set").mapInArrow(tidy(run), "a binary, b binary"), files=files)
     release(sized, parts)
     return out
 
@@ -331,9 +333,10 @@ def band_groups(nodes: DataFrame) -> DataFrame:
 
 def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     """node, comp of the classes that link with another; nodes: node, n, bands, sketch and id, one row each, cut."""
-    groups = cut(band_groups(nodes))
-    member = cut(nodes.select(F.explode("bands").alias("bk"), "node").join(groups, "bk"))
-    sketches = cut(nodes.select("node", "n", "sketch", "id").join(member.select("node").distinct(), "node", "left_semi"))
+    files = few_files(nodes.sparkSession)
+    groups = cut(band_groups(nodes), files=files)
+    member = cut(nodes.select(F.explode("bands").alias("bk"), "node").join(groups, "bk"), files=files)
+    sketches = cut(nodes.select("node", "n", "sketch", "id").join(member.select("node").distinct(), "node", "left_semi"), files=files)
     sets = cut(sets_of(sketches.select("node", "id")), BATCH_BYTES)
     close = F.lit(largest_distance(percent / 100 - ESTIMATE_ROOM))
 
@@ -341,7 +344,7 @@ def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
         side = lambda k: sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(_ones("sketch_a", "sketch_b") <= close).select("a", "b")
-        return cut(_verify(near, sets, percent))
+        return cut(_verify(near, sets, percent), files=files)
 
     def merged(comps: DataFrame, new: DataFrame) -> DataFrame:
         """Components with further edges, which are released."""
@@ -357,8 +360,8 @@ def link_classes(nodes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
         placed = member.select("bk", "m", "node").join(comps, "node", "left").select("bk", "m", "node", F.coalesce("comp", "node").alias("comp"))
         first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
         spans = placed.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), first.alias("c"))
-        spans = cut(spans.where("low <> high").select("bk", F.col("c.node").alias("centre"), F.col("c.comp").alias("own")))
-        out = cut(placed.join(spans, "bk"))
+        spans = cut(spans.where("low <> high").select("bk", F.col("c.node").alias("centre"), F.col("c.comp").alias("own")), files=files)
+        out = cut(placed.join(spans, "bk"), files=files)
         release(spans)
         return out
 
@@ -399,10 +402,11 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", perc
     of_class = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "bands", "sketch")]
     nodes = cut(described.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), *of_class))
     comps = link_classes(nodes, lambda asked: _sets(docs, whole, id_col, asked), percent)
-    linked = cut(nodes.select("node", "id").join(comps, "node"))
-    lowest = cut(linked.groupBy("comp").agg(F.min("id").alias("component_id")))
+    files = few_files(docs.sparkSession)
+    linked = cut(nodes.select("node", "id").join(comps, "node"), files=files)
+    lowest = cut(linked.groupBy("comp").agg(F.min("id").alias("component_id")), files=files)
     named = nodes.select("node", "id").join(linked.select("node", "comp").join(lowest, "comp").select("node", "component_id"), "node", "left")
-    named = cut(named.select("node", F.coalesce("component_id", "id").alias("component_id")))
+    named = cut(named.select("node", F.coalesce("component_id", "id").alias("component_id")), files=files)
     release(nodes, comps, linked, lowest)
     out = described.select("id", "node", "n").join(named, "node", "left")
     component = F.coalesce("component_id", "id")
