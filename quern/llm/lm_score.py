@@ -13,6 +13,11 @@ Workers memory-map the sorted arrays and score whole texts by binary searches of
 so a worker's memory doesn't grow with the model and its pages are shared on a machine. Ranges are
 merged a part of their keys at a time, and workers give back what they free.
 
+Every text searches all over the pairs, so those should be few enough to stay in memory. Most are
+seen once, and a text that was learnt from needs none of these: what it doesn't find was seen once,
+in it. The other texts send their pairs along to be merged, uncounted, and of the pairs seen once
+only those that they ask for are kept.
+
 Scale: no row per token leaves a task. Ranges hold a fixed amount of text, whatever the input.
 The driver sees one row per range and the words that fill a large part of one.
 """
@@ -33,6 +38,8 @@ GATHER = 2_000_000
 MERGE = 500_000
 #: Bytes of text that a task looks at at a time.
 RUN_BYTES = 2 << 20
+#: Added to the count of a pair that texts not learnt from ask for, once for each of their parts.
+ASKED = 1 << 40
 #: The hash of the end token.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -110,7 +117,8 @@ class Ranges:
 
     def __getitem__(self, k: int) -> list[np.ndarray]:
         if k not in self.open:
-            self.open[k] = [map_array(f"{self.folder}/{name}-{k}", dtype) for name, dtype in self.arrays.items()]
+            # plain arrays on the maps: memmap's own slices take as long as a search
+            self.open[k] = [np.asarray(map_array(f"{self.folder}/{name}-{k}", dtype)) for name, dtype in self.arrays.items()]
         return self.open[k]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
@@ -155,7 +163,7 @@ class Model:
         return Ranges(self.folder, self.word_bounds, {"word": "u8", "count": "i8", "pred": "i8", "gamma": "f4"})
 
     def pairs(self) -> Ranges:
-        return Ranges(self.folder, self.pair_bounds, {"pair": "u8", "seen": "f4"})
+        return Ranges(self.folder, self.pair_bounds, {"pair": "u8", "seen": "u4"})
 
     def identify(self, words: Ranges, tokens: np.ndarray):
         """Of each token: id or -1, count, predecessors, weight of the lower order."""
@@ -165,8 +173,11 @@ class Model:
         ids = np.where(place >= 0, place + self.word_base[k], -1)
         return ids[back], count[back], pred[back], gamma[back]
 
-    def log10(self, words: Ranges, pairs: Ranges, tokens: np.ndarray):
-        """Of each token after the first: the model's log10 probability after its predecessor, and its count."""
+    def log10(self, words: Ranges, pairs: Ranges, tokens: np.ndarray, learnt: np.ndarray):
+        """Of each token after the first: the model's log10 probability after its predecessor, and its count.
+
+        learnt: whether the text that the token is of was learnt from.
+        """
         ids, count, pred, gamma = self.identify(words, tokens)
         lower = (np.maximum(pred - self.word_d[np.minimum(pred, 3)], 0) / max(self.predecessors, 1) + self.rest / (self.distinct + 1))[1:]
         before, cur = ids[:-1], ids[1:]
@@ -174,7 +185,7 @@ class Model:
         keys = (np.where(both, before, 0).astype(np.uint64) << np.uint64(32)) | np.where(both, cur, 0).astype(np.uint64)
         known, back = np.unique(keys, return_inverse=True)
         _, seen = pairs.find(known)
-        seen = np.where(both, seen[back], 0).astype(np.float64)
+        seen = np.maximum(np.where(both, seen[back], 0), learnt).astype(np.float64)
         total = count[:-1].astype(np.float64)
         higher = np.where(seen > 0, (seen - self.pair_d[np.minimum(seen, 3).astype(np.int64)]) / np.maximum(total, 1), 0.0)
         weight = np.where(total > 0, gamma[:-1].astype(np.float64), 1.0)
@@ -182,9 +193,10 @@ class Model:
 
 
 def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_BYTES) -> Model:
-    """Count the rows where train holds; the model's files lie in the shared folder until removed."""
+    """Count the rows where train holds, to score these and the other rows; the model's files lie in the shared folder until removed."""
     spark = docs.sparkSession
-    rows = docs.select(text.cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train")).where("train").select("text")
+    every = docs.select(text.cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    rows = every.where("train").select("text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-size // range_bytes))
     folder = new_dir(spark, "lm")
@@ -198,26 +210,28 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
             high, low = part >> np.uint64(32), part.astype("u4")
             yield k, steps, np.diff(high, prepend=high[:1]).astype("u4"), int(high[0]), low, counts[cuts[k] : cuts[k + 1]].astype("u4")
 
-    def gathered(batches, keys_of):
-        """Distinct keys and counts of about GATHER tokens at a time."""
-        held, n = np.empty(GATHER, np.uint64), 0
-        for batch in batches:
-            for run in token_runs(batch.column(0)):
-                keys = keys_of(*run)
-                while len(keys):
-                    own, keys = keys[: GATHER - n], keys[GATHER - n :]
-                    held[n : n + len(own)] = own
-                    n += len(own)
-                    if n == GATHER:
-                        yield count_distinct(held)
-                        n = 0
-        if n:
-            yield count_distinct(held[:n])
+    def gathered(runs):
+        """Distinct keys of about GATHER tokens at a time, and their counts. runs: keys, and whether they count; else their counts are 0."""
+        held = {}
+        for keys, counted in runs:
+            own = held.setdefault(counted, [np.empty(GATHER, np.uint64), 0])
+            while len(keys):
+                some, keys = keys[: GATHER - own[1]], keys[GATHER - own[1] :]
+                own[0][own[1] : own[1] + len(some)] = some
+                own[1] += len(some)
+                if own[1] == GATHER:
+                    distinct, counts = count_distinct(own[0])
+                    yield distinct, counts * np.uint32(counted)
+                    own[1] = 0
+        for counted, (keys, n) in held.items():
+            if n:
+                distinct, counts = count_distinct(keys[:n])
+                yield distinct, counts * np.uint32(counted)
 
     def count_words(batches):
         import pyarrow as pa
 
-        for keys, counts in gathered(batches, lambda row, tokens, ends: tokens[1:]):
+        for keys, counts in gathered((tokens[1:], True) for batch in batches for _, tokens, _ in token_runs(batch.column(0))):
             out = [(k, *_zip(part_keys, c)) for k, part_keys, _, _, _, c in blobs(keys, counts, word_bounds)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["range", "keys", "counts"])
 
@@ -255,16 +269,24 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
 
     def count_pairs(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         vocabulary = Ranges(folder, word_bounds, {"word": "u8"})
 
-        def keys_of(row, tokens, ends):
+        def keys_of(tokens):
             known, back = np.unique(tokens, return_inverse=True)
             (place,) = vocabulary.find(known)
             ids = (place + word_base[np.searchsorted(word_bounds, known, side="right") - 1]).astype(np.uint64)[back]
-            return (ids[:-1] << np.uint64(32)) | ids[1:]
+            keys, found = (ids[:-1] << np.uint64(32)) | ids[1:], (place >= 0)[back]
+            return keys if found.all() else keys[found[:-1] & found[1:]]
+
+        def runs():
+            for batch in batches:
+                for counted in (True, False):
+                    of = pc.equal(batch.column(1), counted)
+                    yield from ((keys_of(tokens), counted) for _, tokens, _ in token_runs(batch.filter(of).column(0)))
 
-        for keys, counts in gathered(batches, keys_of):
+        for keys, counts in gathered(runs()):
             out = [(k, first, *_zip(high, low, c)) for k, _, high, first, low, c in blobs(keys, counts, pair_bounds)]
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["range", "first", "high", "low", "counts"])
@@ -275,7 +297,8 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
         k = int(pdf["range"].iloc[0])
         parts = []
         for first, high, low, c in zip(pdf["first"], pdf["high"], pdf["low"], pdf["counts"]):
-            parts.append((((np.cumsum(_unzip(high, "u4"), dtype=np.uint64) + np.uint64(first)) << np.uint64(32)) | _unzip(low, "u4").astype(np.uint64), _unzip(c, "u4")))
+            c = _unzip(c, "u4")
+            parts.append((((np.cumsum(_unzip(high, "u4"), dtype=np.uint64) + np.uint64(first)) << np.uint64(32)) | _unzip(low, "u4").astype(np.uint64), c if c[0] else np.full(len(c), ASKED)))
         out, pair, seen, next_id, often = [], [], [], [], np.zeros(6, np.int64)
 
         def send(ids, values):
@@ -286,8 +309,11 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
                 out.append((b, values.shape[1], *_zip((ids[own] - word_base[b]).astype("u4"), values[own].astype("u4").reshape(-1))))
 
         for keys, counts in merge_parts(parts):
-            pair.append(keys)
-            seen.append(counts.astype("f4"))
+            asked, counts = counts >= ASKED, counts % ASKED
+            kept = (counts > 1) | asked & (counts == 1)
+            pair.append(keys[kept])
+            seen.append(counts[kept].astype("u4"))
+            keys, counts = keys[counts > 0], counts[counts > 0]
             next_id.append(keys.astype("u4"))
             often += np.bincount(np.minimum(counts, 5), minlength=6)
             send(*_sum_by((keys >> np.uint64(32)).astype(np.int64), np.stack([counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)))
@@ -300,10 +326,10 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
         send(ids.astype(np.int64), predecessors.reshape(-1, 1))
         frame = pd.DataFrame(out, columns=["range", "kind", "ids", "values"])
         frame["own"] = np.int32(k)
-        frame["n"] = [often[1:5].tolist()] + [[0, 0, 0, 0]] * (len(frame) - 1)
+        frame["n"] = ([often[1:5].tolist()] + [[0, 0, 0, 0]] * len(frame))[: len(frame)]
         return frame
 
-    pairs = rows.mapInArrow(tidy(count_pairs), "range int, first long, high binary, low binary, counts binary")
+    pairs = every.mapInArrow(tidy(count_pairs), "range int, first long, high binary, low binary, counts binary")
     stats = cut(pairs.groupBy("range").applyInPandas(tidy_group(merge_pairs), "range int, kind int, ids binary, values binary, own int, n array<long>"), BATCH_BYTES)
     n1to4 = stats.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(4)]).first()
     pair_d = _discounts(*n1to4)
@@ -334,8 +360,8 @@ def fit(docs: DataFrame, text: Column, train: Column, range_bytes: int = RANGE_B
     return empty
 
 
-def score(docs: DataFrame, model: Model, text: Column, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """id_col, the columns in keep, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
+def score(docs: DataFrame, model: Model, text: Column, train: Column, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """id_col, the columns in keep, n_tokens, n_known, train_tokens, base_score and score of each row of docs: the rows given to fit."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # its arrays have a row per range, not per word
     names = [id_col, *(keep or [])]
@@ -350,9 +376,10 @@ def score(docs: DataFrame, model: Model, text: Column, id_col: str = "doc_id", k
         for batch in batches:
             n = batch.num_rows
             n_tokens, n_known, base, own = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            train = batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
             for row, tokens, ends in token_runs(batch.column(len(names))):
-                log, count = m.log10(words, pairs, tokens)
                 to, at = slice(row, row + len(ends) - 1), ends[:-1]
+                log, count = m.log10(words, pairs, tokens, np.repeat(train[to], np.diff(ends)))
                 n_tokens[to] = np.diff(ends)
                 n_known[to] = np.add.reduceat(count > 0, at, dtype=np.int64)
                 own[to] = np.add.reduceat(log, at)
@@ -360,7 +387,7 @@ def score(docs: DataFrame, model: Model, text: Column, id_col: str = "doc_id", k
             arrays = [pa.array(x) for x in (n_tokens, n_known, np.full(n, m.tokens, np.int64), base, own)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(*names, text.cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
+    return docs.select(*names, text.cast("binary").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train")).mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", folds: int = 10) -> DataFrame:
@@ -371,6 +398,6 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_t"), (fold(F.col(id_col), folds) == 0).alias("held_out"))
     model = fit(rows, F.col("_t"), ~F.col("held_out"))
-    out = cut(score(rows, model, F.col("_t"), id_col, ["held_out"]), BATCH_BYTES)
+    out = cut(score(rows, model, F.col("_t"), ~F.col("held_out"), id_col, ["held_out"]), BATCH_BYTES)
     remove_dir(docs.sparkSession, model.folder)
     return out
